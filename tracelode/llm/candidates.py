@@ -10,7 +10,12 @@ and so on (``hot_pairs``): a pair that shares only symbols of large regions shar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.session import materialise
@@ -19,6 +24,10 @@ from tracelode.session import materialise
 MAX_REGION = 2000
 #: Symbols that the heads of a pair must share (fewer where the pair needs fewer).
 COMMON = 4
+#: Rows that a numpy step takes at a time.
+ROWS = 200_000
+
+PAIR = "node_a bigint, node_b bigint, n_a int, n_b int"
 
 
 def needed(threshold: float) -> Column:
@@ -26,43 +35,98 @@ def needed(threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
 
 
-def _sides(rows: DataFrame, two_sided: bool) -> tuple[DataFrame, DataFrame]:
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos"))) for x in "ab")
-    if two_sided:
-        a, b = (rows.filter(F.col("side") == s).select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos"))) for x, s in (("a", 1), ("b", 0)))
-    return a, b
-
-
-def _meet(a: DataFrame, b: DataFrame, threshold: float, two_sided: bool, slack: Column) -> DataFrame:
-    """Pairs of a region that fit each other in size, at positions within the heads that this pair has to share."""
-    other = F.col("node_a") != F.col("node_b") if two_sided else F.col("node_a") < F.col("node_b")
-    need = needed(threshold)
-    least = F.least(slack, need)
-    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (F.col("pos_a") < F.col("n_a") - need + least) & (F.col("pos_b") < F.col("n_b") - need + least)
-    return a.join(b, "key").filter(other & fits)
+def whole_regions(batches: Iterator[pa.RecordBatch], hot: Accumulator | None) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
+    """(is hot, rows) of the rows sorted by key: chunks of whole regions up to MAX_REGION, or parts of a larger one."""
+    held: list[dict[str, np.ndarray]] = []
+    large = None  # key of the large region whose rows are passing
+    n = 0
+
+    def flush(last: bool) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
+        nonlocal held, large, n
+        if not held:
+            return
+        rows = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+        key = rows["key"]
+        ends = np.flatnonzero(np.concatenate((key[1:] != key[:-1], [True]))) + 1
+        sizes = np.diff(np.concatenate(([0], ends)))
+        keep = len(ends) if last else len(ends) - 1
+        begin = int(ends[keep - 1]) if keep else 0
+        big = sizes > MAX_REGION
+        if large is not None:
+            big |= key[ends - 1] == large
+        if not last and big[-1]:  # it goes on, but is known to be large
+            large, keep, begin = key[-1], len(ends), len(key)
+        elif not last or keep:
+            large = None if large is not None and key[-1] != large else large
+        if hot is not None and big[:keep].any():
+            hot.add(1)
+        of = np.repeat(big, sizes)[:begin]
+        for is_hot in (False, True):
+            at = np.flatnonzero(of == is_hot)
+            if len(at):
+                yield is_hot, {c: x[at] for c, x in rows.items()}
+        held, n = ([{c: x[begin:] for c, x in rows.items()}] if begin < len(key) else []), len(key) - begin
+
+    for b in batches:
+        held.append({c: b.column(c).to_numpy() for c in b.schema.names})
+        n += b.num_rows
+        if n >= ROWS:
+            yield from flush(False)
+    yield from flush(True)
+
+
+def meetings(rows: dict[str, np.ndarray], threshold: float, two_sided: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of each region that fit in size, at positions within the heads that this very pair has to share."""
+    key, node, n, pos = (rows[c] for c in ("key", "node", "n", "pos"))
+    at, lag = np.arange(len(key)), 0
+    while len(at):
+        lag += 1
+        at = at[at < len(key) - lag]
+        at = at[key[at] == key[at + lag]]
+        i, j = at, at + lag
+        need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9).astype(np.int64)
+        slack = np.minimum(COMMON, need) - need
+        fits = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (pos[i] < n[i] + slack) & (pos[j] < n[j] + slack) & (node[i] != node[j])
+        if two_sided:
+            fits &= rows["side"][i] != rows["side"][j]
+        i, j = i[fits], j[fits]
+        swap = rows["side"][i] == 0 if two_sided else node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        if len(i):
+            yield pa.record_batch({"node_a": node[i], "node_b": node[j], "n_a": n[i].astype(np.int32), "n_b": n[j].astype(np.int32)})
+
+
+def by_region(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
 
 
 def head_pairs(rows: DataFrame, threshold: float, two_sided: bool = False) -> DataFrame:
-    """(node_a, node_b, n_a, n_b): a superset, exact in recall, of the pairs with Jaccard similarity >= threshold.
+    """(node_a, node_b): a superset, exact in recall, of the pairs with Jaccard similarity >= threshold.
 
     rows: (key, node, n, pos[, side]) of head_symbols(extra=COMMON - 1); a node may come several times.
     two_sided: only pairs of a node of side 1 (a) with one of side 0 (b). Pairs of a node with itself are left out.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy("key")).alias("size")
-    cols = ["key", "node", "n", "pos", *(["side"] if two_sided else [])]
-    sized = rows.select(*cols).repartition("key").select(*cols, size)
-    seen = Observation()
-    few = sized.filter(F.col("size").between(2, MAX_REGION))
-    a, _ = _sides(sized.observe(seen, F.max("size").alias("largest")).filter(F.col("size").between(2, MAX_REGION)), two_sided)
-    _, b = _sides(few, two_sided)
-    met = _meet(a, b, threshold, two_sided, F.lit(COMMON)).groupBy("node_a", "node_b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
-    pairs = materialise(met.filter(F.col("common") >= F.least(F.lit(COMMON), needed(threshold))).drop("common"), "pairs")
-    if (seen.get.get("largest") or 0) <= MAX_REGION:
+    hot = rows.sparkSession.sparkContext.accumulator(0)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for is_hot, part in whole_regions(batches, hot):
+            if not is_hot:
+                yield from meetings(part, threshold, two_sided)
+
+    def only_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for is_hot, part in whole_regions(batches, None):
+            if is_hot:
+                yield pa.record_batch(part)
+
+    met = by_region(rows).mapInArrow(meet, PAIR)
+    counted = met.groupBy("node_a", "node_b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
+    pairs = materialise(counted.filter(F.col("common") >= F.least(F.lit(COMMON), needed(threshold))).select("node_a", "node_b"), "pairs")
+    if not hot.value:
         return pairs
-    # Large regions: shared symbols of theirs are not counted above, so that any pair that met counts.
-    met = _meet(*_sides(few, two_sided), threshold, two_sided, F.lit(COMMON)).select("node_a", "node_b", "n_a", "n_b")
-    hot = materialise(sized.filter(F.col("size") > MAX_REGION).drop("size").dropDuplicates(cols), "hot")
-    return materialise(met.unionByName(hot_pairs(hot, threshold, two_sided)).distinct(), "pairs")
+    # Symbols of large regions were not counted above, so that any pair that met counts.
+    large = materialise(by_region(rows).mapInArrow(only_hot, rows.schema).distinct(), "hot")
+    met = met.unionByName(hot_pairs(large, threshold, two_sided))
+    return materialise(met.select("node_a", "node_b").distinct(), "pairs")
 
 
 def hot_pairs(hot: DataFrame, threshold: float, two_sided: bool) -> DataFrame:
@@ -71,19 +135,26 @@ def hot_pairs(hot: DataFrame, threshold: float, two_sided: bool) -> DataFrame:
     At level d a region is a combination of d symbols. Pairs that need no more than d common symbols are joined
     there at any size (their strings are a few symbols long); after COMMON levels all regions are joined.
     """
+    by = ["node", *(["side"] if two_sided else [])]
+
+    def join(rows: DataFrame) -> DataFrame:
+        a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", *by))) for x in "ab")
+        other = (F.col("side_a") == 1) & (F.col("side_b") == 0) & (F.col("node_a") != F.col("node_b")) if two_sided else F.col("node_a") < F.col("node_b")
+        slack = F.least(F.lit(COMMON), needed(threshold)) - needed(threshold)
+        fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (F.col("pos_a") < F.col("n_a") + slack) & (F.col("pos_b") < F.col("n_b") + slack)
+        return a.join(b, "key").filter(other & fits).select("node_a", "node_b", F.col("n_a").cast("int"), F.col("n_b").cast("int"))
+
     region, found = hot, None
     for level in range(1, COMMON + 1):
-        size = F.count(F.lit(1)).over(Window.partitionBy("key")).alias("size")
-        region = region.withColumn("size", size)
-        ready = region if level == COMMON else region.filter(F.col("size") <= MAX_REGION)
-        met = _meet(*_sides(ready, two_sided), threshold, two_sided, F.lit(COMMON)).select("node_a", "node_b", "n_a", "n_b")
+        sized = region.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        met = join(sized if level == COMMON else sized.filter(F.col("size") <= MAX_REGION))
+        found = met if found is None else found.unionByName(met)
         if level < COMMON:
+            large = sized.filter(F.col("size") > MAX_REGION)
             # need <= level: then n_a + n_b <= level * (1 + t) / t, a handful of symbols
-            short = region.filter((F.col("size") > MAX_REGION) & (F.col("n") <= level * (1 + threshold) / threshold))
-            met = met.unionByName(_meet(*_sides(short, two_sided), threshold, two_sided, F.lit(COMMON)).select("node_a", "node_b", "n_a", "n_b").filter(needed(threshold) <= level))
-            by = ["node", *(["side"] if two_sided else [])]
+            short = large.filter(F.col("n") <= level * (1 + threshold) / threshold)
+            found = found.unionByName(join(short).filter(needed(threshold) <= level))
             nxt = hot.select(*by, F.col("key").alias("key2"), F.col("pos").alias("pos2"))
-            region = region.filter(F.col("size") > MAX_REGION).drop("size").join(nxt, by).filter(F.col("pos2") > F.col("pos"))
-            region = materialise(region.select(F.xxhash64("key", "key2").alias("key"), *by, "n", F.col("pos2").alias("pos")), "region")
-        found = met if found is None else found.unionByName(met)
+            deeper = large.drop("size").join(nxt, by).filter(F.col("pos2") > F.col("pos"))
+            region = materialise(deeper.select(F.xxhash64("key", "key2").alias("key"), *by, "n", F.col("pos2").alias("pos")), "region")
     return found

@@ -137,7 +137,7 @@ def near_duplicate_nodes(records: DataFrame, threshold: float, width: int = 3) -
             keep = sim >= threshold - 1e-12
             yield pa.record_batch({"node_a": x.column("node_a"), "node_b": x.column("node_b"), "similarity": pa.array(sim)}).filter(pa.array(keep))
 
-    joined = with_strings(pairs.select("node_a", "node_b"), strings).select("node_a", "node_b", "ids_a", "ids_b")
+    joined = with_strings(pairs, strings).select("node_a", "node_b", "ids_a", "ids_b")
     return joined.mapInArrow(verify, "node_a bigint, node_b bigint, similarity double")
 
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import group_split, near_duplicates, split_overlap
+from tracelode.llm import encode, group_split, mixing, near_duplicates, spans, split_overlap
+from tracelode.session import materialise
 
 TEXTS = ["task_input", "expected_behavior"]
 SIMILAR = 0.65
+SPAN = 300
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +47,34 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.select(F.col("id").alias("example_id"), "group_id", "split")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_documents(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return materialise(encode.count_tokens(documents), "tokens")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_source_tokens(spark, sf_dir), _table(spark, sf_dir, "mix_target"), "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_source_tokens(spark, sf_dir), _table(spark, sf_dir, "mix_target"), "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spans.shared_span_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text", SPAN)
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_extent(_table(spark, sf_dir, "documents"), "doc_id", "text", SPAN).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits)}
+    return {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:

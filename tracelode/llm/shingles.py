@@ -137,21 +137,24 @@ def head_length(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def head_symbols(records: DataFrame, width: int, threshold: float, table: Broadcast, extra: int = 0) -> DataFrame:
-    """(key, node, n, pos): the rare head of every record's canonical string.
+    """(key, node, n, pos[, side]): the rare head of every record's canonical string.
 
-    records: ``node`` (bigint) and ``text``. extra: symbols beyond head_length(), for more than one in common.
+    records: ``node`` (bigint), ``text`` and perhaps ``side`` (int). extra: symbols beyond head_length(), for
+    more than one in common.
     """
+    more = [c for c in records.columns if c == "side"]
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, classes = Words(), table.value
         for b in steps(batches):
-            node = b.column("node").to_numpy()
             row, symbol, pos, n = canonical(*shingle_batch(b.column("text").to_pylist(), width, words), classes)
             keep = pos < head_length(n, threshold) + extra
-            yield pa.record_batch({"key": pa.array(symbol[keep]), "node": pa.array(node[row[keep]]), "np": pa.array((n[keep] << 32) | pos[keep])})
+            row = row[keep]
+            given = {c: b.column(c).to_numpy()[row] for c in more}
+            yield pa.record_batch({"key": symbol[keep], "node": b.column("node").to_numpy()[row], "n": n[keep], "pos": pos[keep]} | given)
 
-    rows = records.select("node", "text").mapInArrow(heads, "key bigint, node bigint, np bigint")
-    return rows.select("key", "node", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
+    schema = "key bigint, node bigint, n bigint, pos bigint" + "".join(f", {c} int" for c in more)
+    return records.select("node", "text", *more).mapInArrow(heads, schema)
 
 
 def strings_of(records: DataFrame, width: int, table: Broadcast) -> DataFrame:

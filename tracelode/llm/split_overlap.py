@@ -86,16 +86,12 @@ def split_overlap_nodes(records: DataFrame, threshold: float, width: int = 3) ->
 
     records: ``node``, ``text`` and ``side`` (1 evaluation, 0 training, others already left out).
     """
-    once = once_per_task(records.select("node", "side", "text"))
     table = frequency_table(records, width)
-    heads = None
-    for side in (1, 0):
-        part = head_symbols(once.filter(F.col("side") == side), width, threshold, table, COMMON - 1).withColumn("side", F.lit(side))
-        heads = part if heads is None else heads.unionByName(part)
+    heads = head_symbols(once_per_task(records.select("node", "side", "text")), width, threshold, table, COMMON - 1)
     pairs = head_pairs(heads, threshold, two_sided=True)
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b"))
     strings = strings_of(passing(records, node_filter(nodes)), width, table)
-    joined = with_strings(pairs.select("node_a", "node_b"), strings).select("node_a", "node_b", "ids_a", "ids_b")
+    joined = with_strings(pairs, strings).select("node_a", "node_b", "ids_a", "ids_b")
     return joined.mapInArrow(verify_pairs(threshold), "node_a bigint, node_b bigint, similarity double")
 
 
