@@ -35,8 +35,8 @@ def needed(threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
 
 
-def whole_regions(batches: Iterator[pa.RecordBatch], hot: Accumulator | None) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
-    """(is hot, rows) of the rows sorted by key: chunks of whole regions up to MAX_REGION, or parts of a larger one."""
+def whole_regions(batches: Iterator[pa.RecordBatch], hot: Accumulator | None, most: int) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
+    """(is hot, rows) of the rows sorted by key: chunks of whole regions of up to ``most``, or parts of a larger one."""
     held: list[dict[str, np.ndarray]] = []
     large = None  # key of the large region whose rows are passing
     n = 0
@@ -51,7 +51,7 @@ def whole_regions(batches: Iterator[pa.RecordBatch], hot: Accumulator | None) ->
         sizes = np.diff(np.concatenate(([0], ends)))
         keep = len(ends) if last else len(ends) - 1
         begin = int(ends[keep - 1]) if keep else 0
-        big = sizes > MAX_REGION
+        big = sizes > most
         if large is not None:
             big |= key[ends - 1] == large
         if not last and big[-1]:  # it goes on, but is known to be large
@@ -106,15 +106,15 @@ def head_pairs(rows: DataFrame, threshold: float, two_sided: bool = False) -> Da
     rows: (key, node, n, pos[, side]) of head_symbols(extra=COMMON - 1); a node may come several times.
     two_sided: only pairs of a node of side 1 (a) with one of side 0 (b). Pairs of a node with itself are left out.
     """
-    hot = rows.sparkSession.sparkContext.accumulator(0)
+    hot, most = rows.sparkSession.sparkContext.accumulator(0), MAX_REGION
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for is_hot, part in whole_regions(batches, hot):
+        for is_hot, part in whole_regions(batches, hot, most):
             if not is_hot:
                 yield from meetings(part, threshold, two_sided)
 
     def only_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for is_hot, part in whole_regions(batches, None):
+        for is_hot, part in whole_regions(batches, None, most):
             if is_hot:
                 yield pa.record_batch(part)
 

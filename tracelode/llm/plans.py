@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import encode, group_split, mixing, near_duplicates, spans, split_overlap
+from tracelode.llm import conversations, encode, group_split, mixing, near_duplicates, pairs, spans, split_overlap
 from tracelode.session import materialise
 
 TEXTS = ["task_input", "expected_behavior"]
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, sf_dir, "eval_example"), "example_id").select(F.col("id").alias("example_id"), "defect")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = split_overlap.split_overlaps(_table(spark, sf_dir, "eval_example"), "example_id", TEXTS, SIMILAR)
     return hits.select(F.least("eval_id", "train_id").alias("example_id_a"), F.greatest("eval_id", "train_id").alias("example_id_b"))
@@ -29,8 +33,8 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = near_duplicates.near_duplicate_pairs(_table(spark, sf_dir, "eval_example"), "example_id", TEXTS, SIMILAR)
-    return pairs.select(F.col("id_a").alias("example_id_a"), F.col("id_b").alias("example_id_b"))
+    found = near_duplicates.near_duplicate_pairs(_table(spark, sf_dir, "eval_example"), "example_id", TEXTS, SIMILAR)
+    return found.select(F.col("id_a").alias("example_id_a"), F.col("id_b").alias("example_id_b"))
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +51,14 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.select(F.col("id").alias("example_id"), "group_id", "split")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.left_out(_table(spark, sf_dir, "session_message"))
+
+
+def p7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(_table(spark, sf_dir, "session_message"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(_table(spark, sf_dir, "documents"), "doc_id")
 
@@ -65,8 +77,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spans.shared_span_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text", SPAN)
-    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+    found = spans.shared_span_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text", SPAN)
+    return found.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
 def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +86,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
