@@ -39,7 +39,7 @@ def banded_common(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray,
     leaves the band and the result is exact; elsewhere it is a lower bound.
     """
     m, width = len(a), 2 * band + 1
-    pad_b = np.full((m, b.shape[1] + 2 * band + 1), -2, np.int64)
+    pad_b = np.full((m, max(a.shape[1], b.shape[1]) + width), -2, np.int64)
     pad_b[:, band : band + b.shape[1]] = b
     pad_b[:, band : band + b.shape[1]][np.arange(b.shape[1]) >= lb[:, None]] = -2
     best = np.zeros((m, width + 1), np.int16)  # cell d of row i: prefixes of i and i + d - band symbols
