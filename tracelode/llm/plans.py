@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import conversations, encode, group_split, mixing, near_duplicates, pairs, spans, split_overlap
+from tracelode.llm import consensus, conversations, encode, group_split, mixing, near_duplicates, pairs, spans, split_overlap
 from tracelode.session import materialise
 
 TEXTS = ["task_input", "expected_behavior"]
@@ -23,6 +23,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(_table(spark, sf_dir, "eval_example"), "example_id").select(F.col("id").alias("example_id"), "defect")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(_table(spark, sf_dir, "judge_audit_log"))
+
+
+def p2_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.judge_reliability(_table(spark, sf_dir, "judge_audit_log"))
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement(_table(spark, sf_dir, "judge_audit_log"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = split_overlap.split_overlaps(_table(spark, sf_dir, "eval_example"), "example_id", TEXTS, SIMILAR)
     return hits.select(F.least("eval_id", "train_id").alias("example_id_a"), F.greatest("eval_id", "train_id").alias("example_id_b"))
@@ -86,7 +98,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_judges, p2_agreement, p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
