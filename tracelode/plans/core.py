@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tracelode.operators import schema_drift
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.schema_changes(table(spark, sf_dir, "raw_export"))
+
+
+def p6_eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.consistent_table(table(spark, sf_dir, "raw_export"), "eval")
+
+
+def p6_report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.consistent_table(table(spark, sf_dir, "raw_export"), "report")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p6_found, p6_eval_records, p6_report_records)}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {}
