@@ -31,12 +31,12 @@ def front_matter_field(text: Column, name: str) -> Column:
 
 def headings(text: Column, levels: str = "1,6") -> Column:
     """Titles of the Markdown headings in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?m)^#{{{levels}}}[ \t]+(.+)$"), F.lit(1)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?md)^#{{{levels}}}[ \t]+([^\r\n]+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def terms(text: Column) -> Column:
     """Lower-case words of four ASCII letters or more that are no stopwords, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin(*[s for s in STOPWORDS if len(s) >= 4]))
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z]{4,}"), F.lit(0)), F.lower), lambda w: ~w.isin(*[s for s in STOPWORDS if len(s) >= 4]))
 
 
 def conditionals(text: Column) -> Column:

@@ -185,7 +185,7 @@ def score_text_hashes(log):
 # ---- runs
 
 _RUNS = """WITH d AS (SELECT * FROM run_report QUALIFY row_number() OVER (PARTITION BY skill, run_id ORDER BY evolved_score DESC NULLS LAST, baseline_score DESC NULLS LAST, elapsed_seconds DESC NULLS LAST, improvement DESC NULLS LAST) = 1),
-    c AS (SELECT *, evolved_score - baseline_score AS delta FROM d WHERE skill IS NOT NULL), s AS (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY ts, run_id) AS i FROM c WHERE evolved_score IS NOT NULL)"""
+    c AS (SELECT *, evolved_score - baseline_score AS delta FROM d WHERE skill IS NOT NULL), s AS (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY ts NULLS FIRST, run_id) AS i FROM c WHERE evolved_score IS NOT NULL)"""
 _CARDS = """SELECT skill, count(*) AS run_count, count(*) FILTER (delta < 0) AS regressions, round(max(delta), 6) AS best_delta,
     first(run_id ORDER BY delta DESC NULLS LAST, ts DESC, run_id DESC) FILTER (delta IS NOT NULL) AS best_run, first(run_id ORDER BY ts DESC, run_id DESC) AS latest_run, round(first(delta ORDER BY ts DESC, run_id DESC), 6) AS latest_delta, count(*) > 1 AS multi_run FROM c GROUP BY 1"""
 
@@ -200,7 +200,7 @@ def run_cards_found(runs):
     return R.top(R.filtered(R.cards(runs), delta_min=0.01, multi_run=True, search="er"), "best_delta", 10, "skill")
 
 
-@query("run_report", f"{_RUNS} SELECT skill, run_id, round(improvement, 6) AS improvement FROM c WHERE improvement <> 999.0 QUALIFY row_number() OVER (PARTITION BY skill ORDER BY abs(improvement) DESC, ts, run_id) = 1")
+@query("run_report", f"{_RUNS} SELECT skill, run_id, round(improvement, 6) AS improvement FROM c WHERE improvement <> 999.0 QUALIFY row_number() OVER (PARTITION BY skill ORDER BY abs(improvement) DESC, ts NULLS FIRST, run_id) = 1")
 def run_strongest(runs):
     return R.strongest(runs)
 
@@ -211,27 +211,27 @@ def run_recency(runs):
     return R.recency(runs, "2025-01-20 00:00:00")
 
 
-@query("run_report", f"""{_RUNS}, w AS (SELECT skill, run_id, max(evolved_score) OVER f - min(evolved_score) OVER f AS width, count(*) OVER f AS k FROM s WINDOW f AS (PARTITION BY skill ORDER BY ts, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+@query("run_report", f"""{_RUNS}, w AS (SELECT skill, run_id, max(evolved_score) OVER f - min(evolved_score) OVER f AS width, count(*) OVER f AS k FROM s WINDOW f AS (PARTITION BY skill ORDER BY ts NULLS FIRST, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
     SELECT skill, run_id, round(CASE WHEN k = 3 THEN width END, 6) AS range, k = 3 AND width <= 0.01 + 1e-10 AS plateau FROM w""")
 def run_plateaus(runs):
     return R.plateaus(runs)
 
 
-@query("run_report", f"""{_RUNS}, f AS (SELECT *, first_value(evolved_score) OVER w AS f0, lag(run_id) OVER w AS prev, lag(evolved_score) OVER w AS ps FROM s WINDOW w AS (PARTITION BY skill ORDER BY ts, run_id)),
+@query("run_report", f"""{_RUNS}, f AS (SELECT *, first_value(evolved_score) OVER w AS f0, lag(run_id) OVER w AS prev, lag(evolved_score) OVER w AS ps FROM s WINDOW w AS (PARTITION BY skill ORDER BY ts NULLS FIRST, run_id)),
     g AS (SELECT *, (evolved_score - ps) / CASE WHEN f0 = 0 THEN 1e-9 ELSE f0 END AS step FROM f), m AS (SELECT skill, max_by(prev, i) FILTER (step > 0.01) AS usable, max(i) AS n FROM g GROUP BY 1)
     SELECT m.skill, coalesce(usable, s.run_id) AS target, usable IS NOT NULL AS by_gain FROM m JOIN s ON s.skill = m.skill AND s.i = CASE WHEN n >= 3 THEN n - 2 ELSE 1 END""")
 def run_backtrack_targets(runs):
     return R.backtrack_targets(runs)
 
 
-@query("run_report", f"""{_RUNS}, w AS (SELECT skill, run_id, ts, count(*) OVER f = 3 AND max(evolved_score) OVER f - min(evolved_score) OVER f <= 0.01 + 1e-10 AS p FROM s WINDOW f AS (PARTITION BY skill ORDER BY ts, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-    k AS (SELECT *, least(coalesce(sum(p::INT) OVER (PARTITION BY skill ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS n FROM w)
+@query("run_report", f"""{_RUNS}, w AS (SELECT skill, run_id, ts, count(*) OVER f = 3 AND max(evolved_score) OVER f - min(evolved_score) OVER f <= 0.01 + 1e-10 AS p FROM s WINDOW f AS (PARTITION BY skill ORDER BY ts NULLS FIRST, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+    k AS (SELECT *, least(coalesce(sum(p::INT) OVER (PARTITION BY skill ORDER BY ts NULLS FIRST, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS n FROM w)
     SELECT skill, run_id, CASE WHEN n >= 3 THEN 'force_archive' WHEN p THEN 'backtrack' ELSE 'continue' END AS action FROM k""")
 def run_backtrack_actions(runs):
     return R.backtrack_actions(runs)
 
 
-@query("run_report", f"{_RUNS} SELECT skill, run_id, round(max(evolved_score) OVER (PARTITION BY skill ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_so_far FROM s")
+@query("run_report", f"{_RUNS} SELECT skill, run_id, round(max(evolved_score) OVER (PARTITION BY skill ORDER BY ts NULLS FIRST, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_so_far FROM s")
 def run_running_best(runs):
     return R.running_best(runs)
 
@@ -243,7 +243,7 @@ def run_cost_breaker(runs):
     return R.cost_breaker(runs, F.coalesce("elapsed_seconds", F.lit(0.0)) / 10000.0)
 
 
-_FIT = """, y AS (SELECT skill, i::DOUBLE AS i, first_value(evolved_score) OVER (PARTITION BY skill ORDER BY ts, run_id) AS b, evolved_score FROM s),
+_FIT = """, y AS (SELECT skill, i::DOUBLE AS i, first_value(evolved_score) OVER (PARTITION BY skill ORDER BY ts NULLS FIRST, run_id) AS b, evolved_score FROM s),
     l AS (SELECT skill, b, ln(i) AS x, ln(greatest(evolved_score - b + 1e-10, 1e-10)) AS v FROM y),
     fit AS (SELECT skill, count(*) AS n, round(regr_slope(v, x), 4) AS exponent, round(exp(regr_intercept(v, x)), 4) AS scale, round(min(b), 4) AS "offset" FROM l GROUP BY 1 HAVING count(*) >= 4)"""
 
@@ -326,8 +326,8 @@ def trace_tool_requests(rows):
 
 
 @query("session_message", f"""{_MSG}, c AS (SELECT session_id, ord, message_id, k, tool_calls[k] AS tool FROM (SELECT *, unnest(range(1, len(tool_calls) + 1)) AS k FROM m WHERE role = 'assistant')),
-    f AS (SELECT session_id, tool, min((ord, message_id, k)) AS at, count(*) AS n FROM c GROUP BY 1, 2)
-    SELECT session_id, string_agg(tool, ',' ORDER BY at) AS tools, CAST(sum(n) AS BIGINT) AS calls, sum(n) >= 3 AS capturable FROM f GROUP BY 1""")
+    f AS (SELECT session_id, tool, min((ord, message_id, k)) AS place, count(*) AS n FROM c GROUP BY 1, 2)
+    SELECT session_id, string_agg(tool, ',' ORDER BY place) AS tools, CAST(sum(n) AS BIGINT) AS calls, sum(n) >= 3 AS capturable FROM f GROUP BY 1""")
 def trace_tool_sequences(rows):
     return X.tool_sequences(rows)
 
@@ -517,11 +517,11 @@ def example_slugs(rows):
     return rows.select("example_id", D.slug(F.coalesce("task_input", F.lit(""))).alias("slug"))
 
 
-@query(_EX, """SELECT example_id, round(CASE WHEN len(w) = 0 THEN 0.5 ELSE 0.3 + 0.7 * len(list_intersect(w, g)) / len(w) END, 6) AS score FROM (SELECT example_id,
+@query(_EX, """SELECT example_id, CASE WHEN len(w) = 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE + 0.7::DOUBLE * len(list_intersect(w, g)) / len(w) END AS score FROM (SELECT example_id,
     list_filter(list_distinct(string_split(trim(regexp_replace(lower(coalesce(expected_behavior, '')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), ' ')), lambda x: x <> '') AS w,
     list_filter(list_distinct(string_split(trim(regexp_replace(lower(coalesce(task_input, '')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), ' ')), lambda x: x <> '') AS g FROM eval_example)""")
 def example_keyword_overlap(rows):
-    return rows.select("example_id", F.round(S.keyword_overlap(F.col("expected_behavior"), F.col("task_input")), 6).alias("score"))
+    return rows.select("example_id", S.keyword_overlap(F.col("expected_behavior"), F.col("task_input")).alias("score"))
 
 
 @query(_EX, """SELECT example_id, CASE WHEN blank THEN 'empty' WHEN m > 3 AND p / greatest(len(w), 1) < 0.3 THEN 'off_topic' WHEN m > p THEN 'partial' WHEN m > 0 THEN 'details_missing' ELSE 'match' END AS verdict FROM (
@@ -575,7 +575,7 @@ def embedding_to_centroid(vectors):
 
 _DOC = "documents"
 _PAIR = """WITH n AS (SELECT doc_id, skill_name AS name, text, written_at FROM documents WHERE skill_name IS NOT NULL AND text IS NOT NULL),
-    p AS (SELECT * FROM (SELECT doc_id, name, lag(text) OVER w AS baseline, text AS evolved, lag(doc_id) OVER w AS before FROM n WINDOW w AS (PARTITION BY name ORDER BY written_at, doc_id)) WHERE before IS NOT NULL)"""
+    p AS (SELECT * FROM (SELECT doc_id, name, lag(text) OVER w AS baseline, text AS evolved, lag(doc_id) OVER w AS before FROM n WINDOW w AS (PARTITION BY name ORDER BY written_at NULLS FIRST, doc_id)) WHERE before IS NOT NULL)"""
 
 
 @query(_DOC, r"""SELECT doc_id, CASE WHEN starts_with(ltrim(text, ' '), '---') AND len(string_split(text, '---')) >= 3 THEN trim(string_split(text, '---')[2], ' ') ELSE '' END AS front,
@@ -585,12 +585,12 @@ def doc_front_matter(docs):
     return docs.filter("text is not null").select("doc_id", T.front_matter(F.col("text")).alias("front"), T.front_matter_field(F.col("text"), "name").alias("name"))
 
 
-@query(_DOC, r"""SELECT doc_id, CAST(k AS INTEGER) AS k, title FROM (SELECT doc_id, unnest(range(0, len(h))) AS k, trim(unnest(h), ' ') AS title FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^#{1,6}[ \t]+(.+)$', 1) AS h FROM documents))""")
+@query(_DOC, r"""SELECT doc_id, CAST(k AS INTEGER) AS k, title FROM (SELECT doc_id, unnest(range(0, len(h))) AS k, trim(unnest(h), ' ') AS title FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^#{1,6}[ \t]+([^\r\n]+)', 1) AS h FROM documents))""")
 def doc_headings(docs):
     return docs.select("doc_id", F.posexplode(T.headings(F.col("text"))).alias("k", "title"))
 
 
-@query(_DOC, f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM documents) WHERE NOT list_contains({_STOP}, term) GROUP BY 1")
+@query(_DOC, f"SELECT term, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[a-zA-Z]{{4,}}'), lambda x: lower(x))) AS term FROM documents) WHERE NOT list_contains({_STOP}, term) GROUP BY 1")
 def doc_term_counts(docs):
     return docs.select(F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -635,7 +635,7 @@ def doc_structure_checks(docs):
     return G.structure_checks(docs)
 
 
-@query(_DOC, rf"""{_PAIR}, h AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(baseline, '(?m)^#{{1,6}}[ \t]+(.+)$', 1), lambda x: trim(x, ' '))) AS o, list_distinct(list_transform(regexp_extract_all(evolved, '(?m)^#{{1,6}}[ \t]+(.+)$', 1), lambda x: trim(x, ' '))) AS e FROM p),
+@query(_DOC, rf"""{_PAIR}, h AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(baseline, '(?m)^#{{1,6}}[ \t]+([^\r\n]+)', 1), lambda x: trim(x, ' '))) AS o, list_distinct(list_transform(regexp_extract_all(evolved, '(?m)^#{{1,6}}[ \t]+([^\r\n]+)', 1), lambda x: trim(x, ' '))) AS e FROM p),
     a AS (SELECT doc_id, unnest(o) AS section FROM h), b AS (SELECT doc_id, unnest(e) AS section FROM h)
     SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.section, b.section) AS section, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'common' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.section = b.section""")
 def version_section_changes(docs):
@@ -643,7 +643,7 @@ def version_section_changes(docs):
 
 
 def _terms(column: str) -> str:
-    return f"(SELECT doc_id, term, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower({column}), '[a-z]{{4,}}')) AS term FROM p) WHERE NOT list_contains({_STOP}, term) GROUP BY 1, 2)"
+    return f"(SELECT doc_id, term, count(*) AS k FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all({column}, '[a-zA-Z]{{4,}}'), lambda x: lower(x))) AS term FROM p) WHERE NOT list_contains({_STOP}, term) GROUP BY 1, 2)"
 
 
 @query(_DOC, rf"""{_PAIR}, o AS {_terms('baseline')}, e AS {_terms('evolved')}, f AS (SELECT doc_id, sum(k) AS fresh FROM e WHERE k >= 3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = e.doc_id AND o.term = e.term) GROUP BY 1), m AS (SELECT doc_id, sum(k) AS meaningful FROM o GROUP BY 1),
