@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.functions import parsing as P
 from tracelode.functions import text as T
 from tracelode.operators import datasets as D
+from tracelode.operators import external as E
 from tracelode.operators import gates as G
 from tracelode.operators import runs as R
 from tracelode.operators import schema_drift
 from tracelode.operators import scorelog as L
 from tracelode.operators import similarity as S
 from tracelode.operators import traces as X
+from tracelode.streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -683,3 +686,41 @@ def run_pareto_choice(runs):
     SELECT skill_name, category, round(k / sum(k) OVER (PARTITION BY skill_name), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY skill_name ORDER BY k DESC, category) = 1""")
 def score_dominant_failures(log):
     return G.dominant_category(log.filter("error_flag is not null or raw_score < 0.35"), "skill_name", F.col("error_flag"))
+
+
+_TEMPLATES = [("tool_underuse", "Call the tool instead of describing it"), ("skill_drift", "Refresh the skill"), ("long_briefing", "Answer with one action")]
+
+
+@query("session_message", SQL["trace_failures"].replace("SELECT session_id, failure_class, hits FROM (UNPIVOT", "SELECT session_id, failure_class, title, substr(sha256(session_id || ':' || failure_class), 1, 16) AS dedupe_key FROM (UNPIVOT").replace(
+    " WHERE hits > 0", " JOIN (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in _TEMPLATES) + ") d(k, title) ON d.k = failure_class WHERE hits > 0"))
+def trace_action_items(rows):
+    return X.action_items(trace_failures(rows), rows.sparkSession.createDataFrame(_TEMPLATES, "failure_class string, title string"))
+
+
+@query(_DOC)
+def version_text_diff(docs):
+    d = G.version_pairs(docs).withColumn("d", P.text_diff("baseline", "evolved"))
+    return d.select("doc_id", "d.added", "d.removed")
+
+
+@query(_EX, """SELECT example_id, least(1.0::DOUBLE, length(task_input) / 400.0::DOUBLE) AS correctness, round(greatest(0.0, 0.5 * least(1.0::DOUBLE, length(task_input) / 400.0::DOUBLE) + 0.3 + 0.2 - CASE WHEN length(task_input) / 300.0 > 0.9 THEN least(0.3, (length(task_input) / 300.0 - 0.9) * 3.0) ELSE 0.0 END), 6) AS score
+    FROM (SELECT example_id, coalesce(task_input, '') AS task_input FROM eval_example)""")
+def example_injected_scores(rows):
+    """A stand-in for a model call: the score of a text is its length."""
+
+    def judge(frame):
+        return (frame["task_input"].str.len() / 400.0).clip(upper=1.0).to_frame("correctness")
+
+    scored = E.call(rows.select("example_id", F.coalesce("task_input", F.lit("")).alias("task_input")), judge, ["task_input"], "correctness double")
+    score = E.fitness(F.col("correctness"), F.lit(1.0), F.lit(1.0), F.length("task_input"), 300)
+    return scored.select("example_id", "correctness", F.round(score, 6).alias("score"))
+
+
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = W.parquet_stream(spark, sf_dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = W.windowed(events, "ts", "1 hour", "1 day", ["event_type"], {"n": F.count(F.lit(1)), "total": F.sum("value")})
+    return W.run_to_table(counted).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+QUERIES["stream_event_windows"] = stream_event_windows
+SQL["stream_event_windows"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
