@@ -85,7 +85,7 @@ def linked_groups(records: DataFrame, id_col: str) -> DataFrame:
     task = F.trim(F.regexp_replace(F.lower("task_input"), blank, " "))
     session = F.trim(F.regexp_replace(F.lower("session_id"), f"^{blank}|{blank}$", ""))
     source = F.coalesce(F.trim(F.regexp_replace(F.lower("source"), f"^{blank}|{blank}$", "")), F.lit(""))
-    keyed = records.select(
+    keyed = records.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"),
         F.when(F.coalesce(session, F.lit("")) != "", F.xxhash64(F.lit("s"), source, session)).alias("s"),
         F.when(F.coalesce(task, F.lit("")) != "", F.xxhash64(F.lit("t"), task)).alias("t"),

@@ -144,13 +144,13 @@ def near_duplicate_nodes(records: DataFrame, threshold: float, width: int = 3) -
 def membership(records: DataFrame, id_col: str, width: int = 3, *more: str) -> DataFrame:
     """(node, id[, more]) of the records that have at least ``width`` words, i.e. a shingle at all."""
     word = r"[\p{L}\p{N}]+"
-    return records.filter(F.col("text").rlike(word + rf"(?:[^\p{{L}}\p{{N}}]+{word}){{{width - 1}}}")).select("node", F.col(id_col).alias("id"), *more)
+    return records.filter(F.col(id_col).isNotNull() & F.col("text").rlike(word + rf"(?:[^\p{{L}}\p{{N}}]+{word}){{{width - 1}}}")).select("node", F.col(id_col).alias("id"), *more)
 
 
 def near_duplicate_pairs(records: DataFrame, id_col: str, columns: list[str], threshold: float, width: int = 3) -> DataFrame:
     """(id_a, id_b), smaller first: all pairs of records with similarity >= threshold, equal ones included.
 
-    Nulls count as empty texts; records of fewer than ``width`` words are in no pair.
+    Nulls count as empty texts; records of fewer than ``width`` words, or with a null id, are in no pair.
     """
     nodes = with_node(records.select(id_col, *columns), *columns)
     links = near_duplicate_nodes(nodes, threshold, width)

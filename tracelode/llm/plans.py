@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import consensus, conversations, encode, group_split, mixing, near_duplicates, pairs, spans, split_overlap
+from tracelode.llm import consensus, conversations, encode, group_split, mixing, near_duplicates, pairs, spans, split_overlap, sql
 from tracelode.session import materialise
 
 TEXTS = ["task_input", "expected_behavior"]
@@ -32,7 +32,8 @@ def p2_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.agreement(_table(spark, sf_dir, "judge_audit_log"))
+    found = consensus.agreement(_table(spark, sf_dir, "judge_audit_log"))
+    return found.select("tasks", "ratings", *(F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_agreement": sql.P2_AGREEMENT, "p5_found": sql.P5_FOUND, "p7_found": sql.p7_found(conversations.SPEAKERS), "p10_found": sql.P10_FOUND, "p10_shared": sql.P10_SHARED}

@@ -162,9 +162,9 @@ def _next_level(texts: DataFrame, w_before: int, w: int, span: int) -> DataFrame
 
 
 def nodes_of(documents: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
-    """(id, node, len, text) of the texts of at least ``span`` code points; null texts are left out."""
+    """(id, node, len, text) of the texts of at least ``span`` code points; null texts and ids are left out."""
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.filter(F.length("text") >= span).select("id", F.xxhash64("text").alias("node"), F.length("text").alias("len"), "text")
+    return rows.filter(F.col("id").isNotNull() & (F.length("text") >= span)).select("id", F.xxhash64("text").alias("node"), F.length("text").alias("len"), "text")
 
 
 def repeated_spans(nodes: DataFrame, span: int) -> DataFrame:

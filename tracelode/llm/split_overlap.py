@@ -99,7 +99,7 @@ def split_overlaps(records: DataFrame, id_col: str, columns: list[str], threshol
     """(eval_id, train_id, similarity) of every evaluation record and training record with similarity >= threshold.
 
     Splits are compared without case and outer blanks; a null or other split is neither. Null texts are empty;
-    records of fewer than ``width`` words overlap with nothing; equal texts have similarity 1.
+    records of fewer than ``width`` words, or with a null id, overlap with nothing; equal texts have similarity 1.
     """
     split = F.lower(F.trim(split_col))
     sided = with_node(records, *columns).withColumn("side", F.when(split == train, 0).when(split.isin(*evaluation), 1))
