@@ -40,10 +40,10 @@ def mix_rates(tokens: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def draw_copies(tokens: DataFrame, rates: DataFrame, id_col: str, seed: int = 17) -> DataFrame:
-    """tokens with ``copies``: floor(rate) of the source plus one hash-seeded Bernoulli copy."""
+    """(id_col, source, n_tokens, copies): floor(rate) of the source plus one hash-seeded Bernoulli copy."""
     part = F.col("rate") - F.floor("rate")
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    keyed = tokens.withColumn("source", _key("source"))
+    keyed = tokens.select(id_col, _key("source").alias("source"), "n_tokens")
     copies = (F.floor("rate") + (draw < part).cast("int")).cast("int").alias("copies")
     return keyed.join(rates.select("source", "rate"), "source").select(*keyed.columns, copies)
 

@@ -29,7 +29,8 @@ from tracelode.session import materialise
 #: An odd factor for the rolling hash, and its inverse modulo 2**64.
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
-#: Of a run of equal neighbouring minima (long runs of one character) every so many are kept, and both ends.
+#: Of a run of equal neighbouring minima (long runs of one character) every so many are kept, and both ends; fewer
+#: than half a stretch, so that each stretch still holds one.
 THIN = 16
 
 
@@ -85,7 +86,7 @@ def chosen(h: np.ndarray, every: int) -> np.ndarray:
     if len(at) > 2:
         same = (h[at[1:]] == h[at[:-1]]) & (np.diff(at) == 1)
         inner = np.concatenate(([False], same)) & np.concatenate((same, [False]))
-        at = at[~inner | (at % THIN == 0)]
+        at = at[~inner | (at % max(1, min(THIN, every // 2)) == 0)]
     return at
 
 
