@@ -79,10 +79,10 @@ def growth(before: Column, after: Column) -> Column:
     return (F.length(after) - F.length(before)) / F.greatest(F.lit(1), F.length(before))
 
 
-def parse_score(text: Column, default: float = 0.5) -> Column:
+def parse_score(column: str, default: float = 0.5) -> Column:
     """A number kept within 0 and 1, or the default if the text is none."""
-    x = F.expr(f"try_cast(trim(`{text}`) as double)") if isinstance(text, str) else F.try_to_number(F.trim(text), F.lit("9.999999")).cast("double")
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), F.lit(default))
+    x = F.expr(f"try_cast(trim(`{column}`) as double)")
+    return F.when(x.isNull() | F.isnan(x), default).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def age_hours(text: Column) -> Column:

@@ -55,7 +55,7 @@ def read_event_streams(spark: SparkSession, folder: str) -> DataFrame:
     role = F.when(F.col("e.type") == "user.message", "user").when(F.col("e.type") == "assistant.message", "assistant")
     order = Window.partitionBy("session_id").orderBy("block", "line")
     msgs = rows.withColumn("role", role).filter("role is not null").select("session_id", (F.row_number().over(order) - 1).alias("ordinal"), "role", F.col("e.data.content").alias("content"))
-    places = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").option("wholetext", "true").text(folder)
+    places = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").text(folder, wholetext=True)
     places = places.select(session.alias("session_id"), F.trim(F.regexp_extract("value", r"(?m)^cwd:(.*)$", 1)).alias("project"))
     return msgs.join(places, "session_id", "left")
 
@@ -107,7 +107,7 @@ def read_cards(spark: SparkSession, path: str, stale_after: float = 168) -> Data
 
 def read_board(spark: SparkSession, path: str) -> DataFrame:
     """(column, title) of the ``- title`` lines of a Markdown board under their ``## column`` heading."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     head = F.regexp_extract("line", r"^##\s+([\w ]+?)\s*$", 1)
     upto = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     held = lines.withColumn("column", F.last(F.when(head != "", head), ignorenulls=True).over(upto)).withColumn("title", F.trim(F.regexp_extract("line", r"^[-*]\s+(?:\[.\]\s+)?(.*)$", 1)))
@@ -123,7 +123,7 @@ def read_candidates(spark: SparkSession, folder: str, status: str | None = None)
 
 def read_skills(spark: SparkSession, folder: str, least: int = 0, most: int = 2**31 - 1) -> DataFrame:
     """Markdown skill files within a band of sizes, in path order by name."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(folder)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(F.length("text").between(least, most))
 
 
