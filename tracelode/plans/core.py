@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import parsing as P
 from tracelode.functions import text as T
+from tracelode.operators import checks as C
 from tracelode.operators import datasets as D
 from tracelode.operators import external as E
 from tracelode.operators import gates as G
@@ -724,3 +725,85 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_event_windows"] = stream_event_windows
 SQL["stream_event_windows"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+# ---- checks, sections, rankings
+
+
+@query(_EX, r"""SELECT example_id, array_to_string(list_filter([CASE WHEN length(b) < 300 THEN 'body_length' END, CASE WHEN NOT (starts_with(ltrim(b, ' '), '---') OR regexp_matches(b, '(?m)^#{1,3}\s')) THEN 'structure' END, CASE WHEN length(t) < 200 THEN 'task' END], lambda x: x IS NOT NULL), ',') AS failed
+    FROM (SELECT example_id, coalesce(expected_behavior, '') AS b, coalesce(task_input, '') AS t FROM eval_example)""")
+def example_candidate_checks(rows):
+    return C.candidate_checks(rows, "expected_behavior", "task_input", least_body=300, least_task=200).select("example_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query(_EX, """SELECT example_id, array_to_string(list_filter([CASE WHEN trim(coalesce(task_input, ''), ' ') = '' THEN 'missing task_input' END, CASE WHEN trim(coalesce(repo, ''), ' ') = '' THEN 'missing repo' END,
+    CASE WHEN NOT (difficulty IS NULL OR difficulty IN ('easy', 'medium', 'hard')) THEN 'difficulty not allowed' END, CASE WHEN length(coalesce(expected_behavior, '')) > 500 THEN 'expected_behavior too long' END], lambda x: x IS NOT NULL), ',') AS failed FROM eval_example""")
+def example_contract_failures(rows):
+    found = C.contract_failures(rows, ["task_input", "repo"], {"difficulty": ("easy", "medium", "hard")}, {"expected_behavior": 500})
+    return found.select("example_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query("session_message", """WITH s AS (SELECT session_id, min(message_id) AS first_id FROM session_message GROUP BY 1), n AS (SELECT session_id, count(*) AS messages FROM session_message WHERE lower(trim(role, ' ')) = 'tool' GROUP BY 1)
+    SELECT s.session_id, coalesce(messages, 0) AS messages FROM s LEFT JOIN n ON n.session_id = s.session_id WHERE first_id >= 100 AND coalesce(messages, 0) >= 2""")
+def trace_recent_sessions(rows):
+    sessions = rows.groupBy("session_id").agg(F.min("message_id").alias("started_at"))
+    return C.recent_sessions(sessions, rows.filter(F.lower(F.trim("role")) == "tool"), F.lit(100), 2).select("session_id", "messages")
+
+
+@query(_EX, "SELECT count(*) AS n, round(coalesce(avg((coalesce(lower(trim(tool_sequence[2], ' ')) = lower(trim(tool_sequence[1], ' ')), false))::INT), 0.0), 6) AS accuracy FROM eval_example WHERE len(tool_sequence) > 0")
+def example_selection_accuracy(rows):
+    tools = rows.filter("size(tool_sequence) > 0").select(F.get("tool_sequence", F.lit(1)).alias("predicted"), F.get("tool_sequence", F.lit(0)).alias("wanted"))
+    return C.selection_accuracy(tools, "predicted", "wanted")
+
+
+@query("run_report", """SELECT optimizer_type AS approach, count(*) AS runs, round(avg((coalesce(constraints_passed, false))::INT), 4) AS success_rate, round(coalesce(avg(evolved_score), 0.0), 4) AS mean_diversity, round(coalesce(stddev_pop(evolved_score), 0.0), 4) AS std_diversity,
+    round(coalesce(sum(iterations)::DOUBLE / nullif(count(*) FILTER (coalesce(constraints_passed, false)), 0), 0.0), 2) AS cases_per_success FROM run_report GROUP BY 1""")
+def run_benchmark_summary(runs):
+    return C.benchmark_summary(runs, F.col("optimizer_type"), F.col("constraints_passed"), F.col("evolved_score"), F.col("iterations"))
+
+
+@query("judge_audit_log", """SELECT skill_name, task_id, CAST(rank AS INTEGER) AS rank FROM (SELECT skill_name, task_id, row_number() OVER (PARTITION BY skill_name ORDER BY m, task_id) AS rank, count(*) OVER (PARTITION BY skill_name) AS n FROM
+    (SELECT skill_name, task_id, round(avg(raw_score), 6) AS m FROM judge_audit_log WHERE error_flag IS NULL AND skill_name IS NOT NULL AND task_id IS NOT NULL GROUP BY 1, 2)) WHERE rank <= greatest(1, CAST(floor(n * (1.0::DOUBLE / 3.0::DOUBLE)) AS BIGINT))""")
+def score_weakest_tasks(log):
+    means = log.filter("error_flag is null and skill_name is not null and task_id is not null").groupBy("skill_name", "task_id").agg(F.round(F.avg("raw_score"), 6).alias("m"))
+    return C.weakest(means, "skill_name", "m", "task_id").select("skill_name", "task_id", "rank")
+
+
+@query("run_report", """SELECT run_id, skill, ts FROM run_report ORDER BY coalesce(CASE optimizer_type WHEN 'gepa' THEN 0 WHEN 'MIPROv2' THEN 1 END, 2), coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '9999-99-99'), run_id || '/' || skill, elapsed_seconds LIMIT 25""")
+def run_by_priority(runs):
+    r = runs.withColumn("due", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).withColumn("tie", F.concat(F.col("run_id"), F.lit("/"), F.col("skill")))
+    return C.by_priority(r, {"gepa": 0, "MIPROv2": 1}, "optimizer_type", "due", "tie").select("run_id", "skill", "ts").limit(25)
+
+
+@query(_EX, """SELECT example_id, CASE WHEN p <= a THEN 'train' WHEN p <= a + greatest(1, CAST(floor((n - a) / 2) AS BIGINT)) THEN 'val' ELSE 'holdout' END AS split FROM
+    (SELECT example_id, row_number() OVER (ORDER BY example_id) AS p, count(*) OVER () AS n, greatest(1, CAST(floor(count(*) OVER () / 2) AS BIGINT)) AS a FROM eval_example)""")
+def example_ordered_halves(rows):
+    return C.ordered_halves(rows, "example_id")
+
+
+@query(_DOC, rf"""{_PAIR}, o AS (SELECT name, min(baseline) AS before, max(evolved) AS after FROM p WHERE name IS NOT NULL GROUP BY 1) SELECT name, md5(before) AS before, md5(after) AS after FROM o WHERE before IS DISTINCT FROM after""")
+def version_description_changes(docs):
+    pairs = G.version_pairs(docs)
+    old, new = pairs.groupBy("name").agg(F.min("baseline").alias("description")), pairs.groupBy("name").agg(F.max("evolved").alias("description"))
+    return C.description_changes(old, new).select("name", F.md5("before").alias("before"), F.md5("after").alias("after"))
+
+
+@query(_DOC)
+def doc_sections(docs):
+    return C.sections(docs.filter("text is not null"), "doc_id", "text").select(F.col("id").alias("doc_id"), "section_no", "section")
+
+
+@query(_DOC)
+def doc_rubrics(docs):
+    return docs.filter("text is not null").select("doc_id", C.rubric(F.col("text")).alias("rubric"))
+
+
+@query(_DOC)
+def version_section_similarity(docs):
+    return C.section_similarity(G.version_pairs(docs))
+
+
+@query("judge_audit_log", """SELECT skill_name, count(*) FILTER (coalesce(raw_score >= 0.35, false)) AS passed, count(*) FILTER (NOT coalesce(raw_score >= 0.35, false)) AS failed,
+    coalesce(bool_and(coalesce(raw_score >= 0.35, false) OR error_flag IS NULL), true) AS eligible FROM judge_audit_log GROUP BY 1""")
+def score_verdict_rollup(log):
+    return C.verdict_rollup(log, "skill_name", F.col("raw_score") >= 0.35, F.col("error_flag").isNotNull())
