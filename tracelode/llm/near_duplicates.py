@@ -38,25 +38,6 @@ def with_node(records: DataFrame, *columns: str) -> DataFrame:
     return records.withColumn("text", text).withColumn("node", F.xxhash64("text"))
 
 
-def once_per_task(records: DataFrame) -> DataFrame:
-    """Drops repeated nodes within a task, so that copies of one text, however many, are handled once per task."""
-
-    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in names)))
-            mask = []
-            for k in keys:
-                mask.append(k not in seen)
-                seen.add(k)
-            if len(seen) > 500_000:
-                seen.clear()
-            yield b.filter(pa.array(mask, pa.bool_()))
-
-    names = [c for c in records.columns if c != "text"]
-    return records.mapInArrow(fresh, records.schema)
-
-
 def node_filter(nodes: DataFrame):
     """A broadcast bit table of the nodes (1 MB): a node whose bit is unset is none of them."""
     width = 1 << (FILTER_BITS - 8)
@@ -75,26 +56,6 @@ def node_filter(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(table.ravel())
 
 
-def passing(records: DataFrame, bits) -> DataFrame:
-    """The records whose node passes the filter, each node once per task."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = bits.value, set()
-        for b in batches:
-            node = b.column("node").to_numpy()
-            at = np.mod(node, 1 << FILTER_BITS)
-            hit = (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            mask = hit.astype(bool)
-            for i in np.flatnonzero(mask):
-                mask[i] = node[i] not in seen
-                seen.add(node[i])
-            if len(seen) > 500_000:
-                seen.clear()
-            yield b.filter(pa.array(mask))
-
-    return records.select("node", "text").mapInArrow(keep, "node bigint, text string")
-
-
 def common_counts(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
     """Sizes of the pairwise set intersections of two list columns."""
     out = np.zeros(len(a), np.int64)
@@ -123,10 +84,10 @@ def near_duplicate_nodes(records: DataFrame, threshold: float, width: int = 3) -
     no partner; an empty input gives no pairs; a row without a partner is in no pair.
     """
     table = frequency_table(records, width)
-    heads = head_symbols(once_per_task(records.select("node", "text")), width, threshold, table, COMMON - 1)
+    heads = head_symbols(records.select("node", "text"), width, threshold, table, COMMON - 1)
     pairs = head_pairs(heads, threshold)
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b"))
-    strings = strings_of(passing(records, node_filter(nodes)), width, table)
+    strings = strings_of(records, width, table, node_filter(nodes), FILTER_BITS)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,9 +27,13 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W_]+")
 #: ASCII bytes to lower-case letters and digits, anything else to blanks.
 ASCII = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
-#: Buckets of the frequency table: it is a fixed 4 MB, whatever the corpus.
-TABLE_BITS = 20
-BLOCK = 4096
+#: Buckets of the frequency table: it is a fixed 4 MB of one byte each, whatever the corpus.
+TABLE_BITS = 22
+BLOCK = 1 << 14
+#: Shingles that are counted at a time.
+COUNTED = 4_000_000
+#: Nodes that a task remembers so as to handle copies of a text once.
+SEEN = 500_000
 #: Rows that a numpy step takes at a time (10 bits of a sort key); bounds memory, has no effect on results.
 STEP = 1000
 #: A symbol is a frequency class (7 bits, quarter octaves) before 47 bits of the shingle's hash.
@@ -88,27 +93,33 @@ def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_table(records: DataFrame, width: int) -> Broadcast:
     """Frequency classes of all records' shingles in 2**TABLE_BITS hashed buckets, counted over the whole input.
 
-    records: a column ``text``. Each task sends its non-empty blocks of 4096 counts, which are added up block by
-    block; the driver holds one table of 1 MB (uint8 classes), which is broadcast. The table only orders the
-    symbols; any table gives the same results.
+    records: a column ``text``. Each task sends its blocks of 16,384 counts packed (about a bit per bucket where
+    counts are small), which are added up block by block; the driver holds one table of 4 MB, which is broadcast.
+    The table only orders the symbols; any table gives the same results.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(1 << TABLE_BITS, np.int64)
+        words, total, held, n = Words(), np.zeros(1 << TABLE_BITS, np.int32), [], 0
         for b in steps(batches):
             _, h = shingle_batch(b.column("text").to_pylist(), width, words)
-            total += np.bincount((h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(total))
+            held.append((h >> np.uint64(64 - TABLE_BITS)).astype(np.int32))
+            n += len(h)
+            if n > COUNTED:
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
         part = total.reshape(-1, BLOCK)
         for i in range(0, len(part), 16):  # a few blocks at a time
             at = [k for k in range(i, min(i + 16, len(part))) if part[k].any()]
             if at:
-                yield pa.record_batch({"block": pa.array(at, pa.int32()), "counts": pa.array([part[k].astype("<i4").tobytes() for k in at], pa.binary())})
+                yield pa.record_batch({"block": pa.array(at, pa.int32()), "counts": pa.array([zlib.compress(part[k].tobytes(), 1) for k in at], pa.binary())})
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BLOCK, np.int64)
         for b in batches:
             for x in b.column("counts"):
-                total += np.frombuffer(x.as_py(), "<i4")
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
         cls = np.minimum(4 * np.log2(total + 1), 127).astype(np.uint8)
         yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([cls.tobytes()], pa.binary())})
 
@@ -136,8 +147,20 @@ def head_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def unseen(seen: set, *columns: np.ndarray) -> np.ndarray:
+    """Mask of the rows whose values the task has not met yet."""
+    mask = np.zeros(len(columns[0]), bool)
+    for i, k in enumerate(zip(*(c.tolist() for c in columns))):
+        if k not in seen:
+            seen.add(k)
+            mask[i] = True
+    if len(seen) > SEEN:
+        seen.clear()
+    return mask
+
+
 def head_symbols(records: DataFrame, width: int, threshold: float, table: Broadcast, extra: int = 0) -> DataFrame:
-    """(key, node, n, pos[, side]): the rare head of every record's canonical string.
+    """(key, node, n, pos[, side]): the rare head of every record's canonical string, a node once per task.
 
     records: ``node`` (bigint), ``text`` and perhaps ``side`` (int). extra: symbols beyond head_length(), for
     more than one in common.
@@ -145,8 +168,9 @@ def head_symbols(records: DataFrame, width: int, threshold: float, table: Broadc
     more = [c for c in records.columns if c == "side"]
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes = Words(), table.value
+        words, classes, seen = Words(), table.value, set()
         for b in steps(batches):
+            b = b.filter(pa.array(unseen(seen, *(b.column(c).to_numpy() for c in ("node", *more)))))
             row, symbol, pos, n = canonical(*shingle_batch(b.column("text").to_pylist(), width, words), classes)
             keep = pos < head_length(n, threshold) + extra
             row = row[keep]
@@ -157,12 +181,16 @@ def head_symbols(records: DataFrame, width: int, threshold: float, table: Broadc
     return records.select("node", "text", *more).mapInArrow(heads, schema)
 
 
-def strings_of(records: DataFrame, width: int, table: Broadcast) -> DataFrame:
-    """(node, ids): every record's canonical string."""
+def strings_of(records: DataFrame, width: int, table: Broadcast, bits: Broadcast, filter_bits: int) -> DataFrame:
+    """(node, ids): the canonical strings of the records whose node passes the filter, a node once per task."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes = Words(), table.value
+        words, classes, passing, seen = Words(), table.value, bits.value, set()
         for b in steps(batches):
+            node = b.column("node").to_numpy()
+            at = np.mod(node, 1 << filter_bits)
+            b = b.filter(pa.array(((passing[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+            b = b.filter(pa.array(unseen(seen, b.column("node").to_numpy())))
             row, symbol, _, _ = canonical(*shingle_batch(b.column("text").to_pylist(), width, words), classes)
             ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b.num_rows)))).astype(np.int32)
             yield pa.record_batch({"node": b.column("node"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(symbol))})

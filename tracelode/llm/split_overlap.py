@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.candidates import COMMON, head_pairs
-from tracelode.llm.near_duplicates import membership, node_filter, once_per_task, passing, with_node, with_strings
+from tracelode.llm.near_duplicates import FILTER_BITS, membership, node_filter, with_node, with_strings
 from tracelode.llm.shingles import frequency_table, head_symbols, strings_of
 from tracelode.session import materialise
 
@@ -87,10 +87,10 @@ def split_overlap_nodes(records: DataFrame, threshold: float, width: int = 3) ->
     records: ``node``, ``text`` and ``side`` (1 evaluation, 0 training, others already left out).
     """
     table = frequency_table(records, width)
-    heads = head_symbols(once_per_task(records.select("node", "side", "text")), width, threshold, table, COMMON - 1)
+    heads = head_symbols(records.select("node", "side", "text"), width, threshold, table, COMMON - 1)
     pairs = head_pairs(heads, threshold, two_sided=True)
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b"))
-    strings = strings_of(passing(records, node_filter(nodes)), width, table)
+    strings = strings_of(records, width, table, node_filter(nodes), FILTER_BITS)
     joined = with_strings(pairs, strings).select("node_a", "node_b", "ids_a", "ids_b")
     return joined.mapInArrow(verify_pairs(threshold), "node_a bigint, node_b bigint, similarity double")
 
