@@ -13,7 +13,7 @@ import json
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +29,8 @@ DIMS = 64
 #: Costs of the edit operations; a rename costs by how unlike the values and the names are.
 DELETE, ADD, RETYPE = 0.35, 0.35, 0.4
 UNLIKE_VALUES, UNLIKE_NAMES = 0.8, 0.2
+#: Cost up to which paths of different streams are taken for one column.
+SAME = 0.2
 MARKS = " -_,.:/T"
 _WORD = re.compile(r"[^\W\d_]+|0+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -258,14 +260,31 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     return trees.groupBy("file_name").applyInArrow(script, "file_name string, change string, field_name string, new_name string")
 
 
-def column_names(lines: DataFrame, changes: DataFrame, profiles: DataFrame) -> dict[str, tuple[str, str]]:
+def whole_profiles(profiles: DataFrame) -> DataFrame:
+    """(path, files, sums): each path's profile over all files."""
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(Profile.SIZE), 0
+        for b in batches:
+            total += b.column("sums").flatten().to_numpy().reshape(-1, Profile.SIZE).sum(axis=0)
+            n += b.num_rows
+        yield pa.record_batch({"path": pa.array([key[0].as_py()]), "files": pa.array([n], pa.int64()), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    return profiles.select("path", "sums").groupBy("path").applyInArrow(merge, "path string, files bigint, sums array<double>")
+
+
+def column_names(changes: DataFrame, profiles: DataFrame) -> dict[str, tuple[str, str]]:
     """Path -> (column, type) for one kind of record: paths linked by renames, in any stream, are one column.
 
-    The column goes by the path that most files use (ties by name), its type by most values. Only the distinct
-    paths and renames, i.e. the schema itself, reach the driver.
+    So are paths of different streams that never stand in one file and whose values and names, over all files,
+    are alike beyond doubt (cost up to SAME). The column goes by the path that most files use (ties by name),
+    its type by most values. Only the distinct paths, renames and pairs of paths of a file, i.e. the schema
+    itself, reach the driver.
     """
     renames = [(r["field_name"], r["new_name"]) for r in changes.filter("change = 'renamed'").select("field_name", "new_name").distinct().collect()]
-    used = {r["path"]: (r["files"], r["types"]) for r in profiles.groupBy("path").agg(F.count(F.lit(1)).alias("files"), F.array(*(F.sum(F.col("sums")[i]) for i in range(4))).alias("types")).collect()}
+    used = {r["path"]: (r["files"], np.array(r["sums"])) for r in whole_profiles(profiles).collect()}
+    other = profiles.select("file_name", F.col("path").alias("other"))
+    together = {frozenset(r) for r in profiles.select("file_name", "path").join(other, "file_name").filter("path < other").select("path", "other").distinct().collect()}
     top = {p: p for p in used}
 
     def find(x: str) -> str:
@@ -276,16 +295,25 @@ def column_names(lines: DataFrame, changes: DataFrame, profiles: DataFrame) -> d
     for a, b in renames:
         if a in top and b in top:
             top[find(a)] = find(b)
-    groups = defaultdict(list)
-    for p in used:
+    groups: dict[str, list[str]] = defaultdict(list)
+    for p in sorted(used):
         groups[find(p)].append(p)
+
+    def cost(x: str, y: str) -> float:
+        a, b = (sum(used[p][1] for p in groups[g]) for g in (x, y))
+        alike = max(names_alike(p, q) for p in groups[x] for q in groups[y])
+        return UNLIKE_VALUES * (1 - values_alike(a, b)) + UNLIKE_NAMES * (1 - alike) + RETYPE * (field_type(a) != field_type(b))
+
+    keys = sorted(groups)
+    for c, x, y in sorted((cost(x, y), x, y) for i, x in enumerate(keys) for y in keys[i + 1 :]):
+        x, y = find(x), find(y)
+        if c <= SAME and x != y and not any(frozenset((p, q)) in together for p in groups[x] for q in groups[y]):
+            top[y] = x
+            groups[x] += groups.pop(y)
     out = {}
     for paths in groups.values():
         name = min(paths, key=lambda p: (-used[p][0], p))
-        kinds = Counter()
-        for p in paths:
-            kinds.update(dict(zip(TYPES, used[p][1])))
-        kind = max(TYPES, key=lambda t: kinds[t])
+        kind = field_type(sum(used[p][1] for p in paths))
         out.update({p: (name.replace(".", "_"), kind) for p in paths})
     return out
 
@@ -313,7 +341,7 @@ def consistent_table(lines: DataFrame, kind: str) -> DataFrame:
     """
     own = lines.filter(F.substring_index("stream", "/", 1) == kind)
     profiles = materialise(field_profiles(own), "profiles")
-    names = column_names(own, schema_changes(own), profiles)
+    names = column_names(schema_changes(own), profiles)
     columns = sorted(set(names.values()))
     spark_type = {"number": "double", "boolean": "boolean", "array": "array<string>", "string": "string"}
     arrow_type = {"number": pa.float64(), "boolean": pa.bool_(), "array": pa.list_(pa.string()), "string": pa.string()}
