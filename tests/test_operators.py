@@ -187,3 +187,23 @@ def test_injected_calls_report_errors(spark):
 
     got = {r.x: (r.y, r.error) for r in external.filtered_call(spark.range(6).select(F.col("id").alias("x")), F.col("x") > 0, ["x"], 3, judge, ["x"], "y bigint", 2).collect()}
     assert got[1] == (1, None) and got[2] == (2, None) and got[3] == (None, "ValueError: too large") and len(got) == 3
+
+
+def test_running_sums_cross_chunks(spark):
+    from tracelode.operators.ordering import running_sums
+
+    rows = [(g, i, i % 3) for g in ("a", "b") for i in range(17)] + [("c", None, 5)]
+    d = spark.createDataFrame(rows, "g string, i bigint, x bigint")
+    got = running_sums(d, ["g"], F.floor(F.col("i") / 4), [F.col("i")], {"s": F.col("x"), "n": F.lit(1)}).collect()
+    assert len(got) == 35 and all(r.s == sum(k % 3 for k in range(r.i + 1)) and r.n == r.i + 1 for r in got if r.i is not None)
+
+
+def test_similar_sets_equal_brute_force(spark):
+    import random
+
+    random.seed(7)
+    texts = {i: " ".join(random.choice("a b c d e f g h the the of".split()) for _ in range(random.randint(0, 8))) for i in range(60)}
+    d = spark.createDataFrame(list(texts.items()), "id bigint, t string")
+    got = {(r.query_id, r.id) for r in similarity.similar_sets(d.filter("id % 10 = 0"), d, "id", "t", 0.5, 1000).collect()}
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    assert got == {(q, i) for q in range(0, 60, 10) for i in range(60) if q != i and sets[q] | sets[i] and len(sets[q] & sets[i]) > 0.5 * len(sets[q] | sets[i])}

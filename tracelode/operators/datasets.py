@@ -136,7 +136,7 @@ def audit(examples: DataFrame, by: Column, stub_words: tuple[str, ...], prefix:
         stub = stub | t.contains(w) | e.contains(w)
     size = F.length(F.coalesce("task_input", F.lit("")))
     g = examples.groupBy(by.alias("group")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(size), 4).alias("mean_length"), F.percentile_disc(0.5, size).alias("lower_median") if hasattr(F, "percentile_disc") else F.percentile_approx(size, 0.5).alias("lower_median"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(size), 4).alias("mean_length"), F.expr("percentile_disc(0.5) within group (order by length(coalesce(task_input, '')) desc)").cast("int").alias("upper_median"),
         F.round(F.avg(stub.cast("double")), 6).alias("stub_share"), (F.count(F.lit(1)) - F.count_distinct(F.substring(t, 1, prefix))).alias("repeated"),
     )
     return g

@@ -232,15 +232,16 @@ def file_order(lines: DataFrame) -> DataFrame:
     return files.select("stream", "file_name", F.lag("file_name").over(order).alias("before"))
 
 
-def schema_changes(lines: DataFrame) -> DataFrame:
+def schema_changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """(file_name, change, field_name, new_name): every change of a file against the one before it in its stream.
 
     lines: file_name, stream, written_at, payload. change is added, removed, renamed or retyped; new_name is ''
     unless renamed. A field is a key (dotted path) with a non-null value in any readable record of the file; its
     type is the one most of its values have. Unreadable lines count for nothing, a file without readable lines
-    has no fields; the first file of a stream has no changes. Lines delivered twice change nothing.
+    has no fields; the first file of a stream has no changes. Lines delivered twice change nothing. profiles:
+    those of the lines, where they are known already.
     """
-    profiles = materialise(field_profiles(lines), "profiles")
+    profiles = profiles if profiles is not None else materialise(field_profiles(lines), "profiles")
     pairs = file_order(lines).filter("before is not null").select("file_name", "before")
     # both trees of a pair meet in one group: as many rows as the two files have fields
     new = pairs.select("file_name", F.col("file_name").alias("of"), F.lit(1).alias("after"))
@@ -341,7 +342,7 @@ def consistent_table(lines: DataFrame, kind: str) -> DataFrame:
     """
     own = lines.filter(F.substring_index("stream", "/", 1) == kind)
     profiles = materialise(field_profiles(own), "profiles")
-    names = column_names(schema_changes(own), profiles)
+    names = column_names(schema_changes(own, profiles), profiles)
     columns = sorted(set(names.values()))
     spark_type = {"number": "double", "boolean": "boolean", "array": "array<string>", "string": "string"}
     arrow_type = {"number": pa.float64(), "boolean": pa.bool_(), "array": pa.list_(pa.string()), "string": pa.string()}

@@ -83,13 +83,24 @@ def overlap_feedback(expected: Column, given: Column) -> Column:
 def similar_sets(queries: DataFrame, rows: DataFrame, id_col: str, text_col: str, above: float = 0.25, most: int = 5) -> DataFrame:
     """(query_id, id, jaccard, rank): for each query the rows of highest word-set Jaccard above a bound.
 
-    Queries are a stated set; rows meet them through the words they share, so only common words cost.
+    Queries are a stated set. A pair above the bound shares one of the first n - ceil(above * n) + 1 words of
+    either set, rarest first (words counted over all rows), so the frequent words are not joined on; candidates
+    are then compared in full.
     """
     make = lambda d: d.select(F.col(id_col).alias("id"), word_set(F.coalesce(text_col, F.lit(""))).alias("words"))
-    q = make(queries).select(F.col("id").alias("query_id"), F.size("words").alias("nq"), F.explode("words").alias("word"))
-    r = make(rows).select("id", F.size("words").alias("nr"), F.explode("words").alias("word"))
-    common = q.join(r, "word").filter("query_id <> id").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"), F.max("nq").alias("nq"), F.max("nr").alias("nr"))
-    scored = common.withColumn("jaccard", F.col("c") / (F.col("nq") + F.col("nr") - F.col("c"))).filter(F.col("jaccard") > above)
+    q, r = make(queries), make(rows)
+    often = r.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+
+    def heads(sets: DataFrame) -> DataFrame:
+        words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).join(often, "word", "left").fillna(0, ["often"])
+        place = F.row_number().over(Window.partitionBy("id").orderBy("often", "word"))
+        return words.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * above) + 1).select("id", "n", "word")
+
+    a, b = heads(q).select(F.col("id").alias("query_id"), F.col("n").alias("nq"), "word"), heads(r)
+    near = a.join(b, "word").filter((F.col("query_id") != F.col("id")) & (F.least("nq", "n") >= above * F.greatest("nq", "n"))).select("query_id", "id").distinct()
+    full = near.join(q.select(F.col("id").alias("query_id"), F.col("words").alias("q")), "query_id").join(r, "id")
+    common = F.size(F.array_intersect("q", "words"))
+    scored = full.withColumn("jaccard", common / (F.size("q") + F.size("words") - common)).filter(F.col("jaccard") > above)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most).select("query_id", "id", F.round("jaccard", 6).alias("jaccard"), "rank")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.ordering import running_sums
+
 # Keyword lists of the outcome and failure rules.
 SUCCESS_WORDS = ("done", "completed", "finished", "accomplished", "deployed", "saved", "written", "created", "fixed", "resolved", "succeeded", "thank you", "perfect", "excellent", "great work")
 FAILURE_WORDS = (
@@ -31,19 +33,20 @@ def messages(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", ord_.alias("ord"), "message_id", speaker.alias("role"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tool_calls", F.array().cast("array<string>")).alias("tool_calls"), "source", "project").filter("role is not null")
 
 
-def in_order() -> Window:
-    return Window.partitionBy("session_id").orderBy("ord", "message_id")
+#: Places of a session whose rows are windowed together.
+CHUNK = 10_000
 
 
 def with_turns(msgs: DataFrame) -> DataFrame:
-    """Adds ``turn``: the number of user rows up to and with this one."""
-    return msgs.withColumn("turn", F.sum((F.col("role") == "user").cast("bigint")).over(in_order()))
+    """Adds ``turn``: the number of user rows up to and with this one. A session of any size is cut into chunks."""
+    turn = {"turn": (F.col("role") == "user").cast("bigint")}
+    return running_sums(msgs, ["session_id"], F.floor(F.col("ord") / CHUNK), [F.col("ord"), F.col("message_id")], turn)
 
 
 def turn_pairs(rows: DataFrame, least: int = 1) -> DataFrame:
     """Each user row of ``least`` characters with the next non-empty assistant text before the next user row.
 
-    A missing answer stays as ''. One window numbers the turns, one aggregation pairs them; no range join.
+    A missing answer stays as ''. The turns are numbered, one aggregation pairs them; no range join.
     """
     t = with_turns(messages(rows)).filter("turn > 0")
     place = F.struct("ord", "message_id")
@@ -68,9 +71,10 @@ def joined_pairs(rows: DataFrame, secret: Column | None = None, least: int = 10)
 
 def tool_requests(rows: DataFrame, cut: int = 200) -> DataFrame:
     """Each assistant tool call with the nearest user text before it, cut to ``cut`` characters."""
-    said = F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
-    m = messages(rows).withColumn("task", F.substring(said, 1, cut)).filter("role = 'assistant' and task is not null")
-    return m.select("session_id", "message_id", F.posexplode("tool_calls").alias("call_no", "tool_name"), "task").select("session_id", "message_id", "call_no", "tool_name", "task")
+    t = with_turns(messages(rows)).filter("turn > 0")
+    said = t.filter("role = 'user'").select("session_id", "turn", F.substring("content", 1, cut).alias("task"))
+    calls = t.filter("role = 'assistant'").select("session_id", "turn", "message_id", F.posexplode("tool_calls").alias("call_no", "tool_name"))
+    return calls.join(said, ["session_id", "turn"]).select("session_id", "message_id", "call_no", "tool_name", "task")
 
 
 def tool_sequences(rows: DataFrame, least: int = 3) -> DataFrame:

@@ -467,7 +467,7 @@ def example_fill_up(rows):
 
 
 @query(_EX, """WITH e AS (SELECT coalesce(lower(trim(split, ' ')), '') AS "group", lower(coalesce(task_input, '')) AS t, lower(coalesce(expected_behavior, '')) AS x, length(coalesce(task_input, '')) AS z FROM eval_example)
-    SELECT "group", count(*) AS n, round(avg(z), 4) AS mean_length, CAST(quantile_disc(z, 0.5) AS INTEGER) AS lower_median, round(avg((contains(t, 'todo') OR contains(x, 'todo') OR contains(t, 'stale') OR contains(x, 'stale'))::INT), 6) AS stub_share,
+    SELECT "group", count(*) AS n, round(avg(z), 4) AS mean_length, CAST(list_sort(list(z))[count(*) // 2 + 1] AS INTEGER) AS upper_median, round(avg((contains(t, 'todo') OR contains(x, 'todo') OR contains(t, 'stale') OR contains(x, 'stale'))::INT), 6) AS stub_share,
     count(*) - count(DISTINCT substr(t, 1, 60)) AS repeated FROM e GROUP BY 1""")
 def example_audit(rows):
     return D.audit(rows, F.coalesce(D.lean("split"), F.lit("")), ("todo", "stale"))
