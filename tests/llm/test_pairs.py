@@ -11,6 +11,7 @@ CASES = [
     (11, TASK, "Diese Anfrage muss ich ablehnen, den Bericht darf ich nicht herausgeben.", "refusal"),
     (12, TASK, "Der Bericht nennt drei Karten, die nicht mehr gültig sind, und die anderen wurden im Mai mit dem Werkzeug geändert.", "language"),
     (13, TASK, "The report lists three cards that are stale and then the gate of the", "truncated"), (14, TASK, LONG + "\n```\nprint(1)", "truncated"), (15, TASK, LONG + "\n- open the first card\n-", "truncated"),
+    (26, TASK, "Ask the curator and", "truncated"), (27, TASK, LONG + " Then the...", "truncated"),
     (16, TASK, LONG, None), (17, TASK, "KB-77", None), (18, TASK, "No change needed.", None), (19, TASK, "`run_tests`", None), (20, TASK, "I can't open the file from here, but this is what the report shows. " + LONG, None),
     (21, TASK, "The agent should decline politely and say that it cannot share the key of the vault with anyone.", None),
     (22, TASK + " Answer in German.", "Der Bericht nennt drei Karten, die nicht mehr gültig sind, und die anderen wurden im Mai mit dem Werkzeug geändert.", None),

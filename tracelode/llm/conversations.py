@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.ordering import running_sums
 from tracelode.session import materialise
 
 # Names under which the four speakers go, lower-cased, "-" and blanks as "_".
@@ -78,17 +79,12 @@ def has_text(content: Column) -> Column:
 
 
 def _ordered(messages: DataFrame) -> DataFrame:
-    """Adds ``turn`` (1, 2, ... over the session's messages; a session_meta row is none) and ``users`` (user messages up to and with this one)."""
+    """Adds ``turn`` (1, 2, ... over the session's messages; a session_meta row is none) and ``users`` (user
+    messages up to and with this one)."""
     size = F.when(F.col("ordinal").isNotNull(), F.lit(CHUNK)).otherwise(F.lit(CHUNK * 1_000_000))
-    chunked = messages.withColumn("chunk", F.coalesce(F.floor(F.col("place") / size), F.lit(0)))
-    is_user = (F.coalesce("speaker", F.lit("")) == "user").cast("bigint")
-    counted = (F.coalesce("speaker", F.lit("")) != META).cast("bigint")
-    totals = chunked.groupBy("session_key", "chunk").agg(F.sum(counted).alias("rows_in"), F.sum(is_user).alias("users_in"))
-    earlier = Window.partitionBy("session_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("session_key", "chunk", F.coalesce(F.sum("rows_in").over(earlier), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("users_in").over(earlier), F.lit(0)).alias("users_before"))
-    within = Window.partitionBy("session_key", "chunk").orderBy(F.col("place").asc_nulls_last(), "message_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = chunked.withColumn("turn", F.sum(counted).over(within)).withColumn("users", F.sum(is_user).over(within)).join(totals, ["session_key", "chunk"])
-    return out.withColumn("turn", F.col("turn") + F.col("rows_before")).withColumn("users", F.col("users") + F.col("users_before")).drop("chunk", "rows_before", "users_before")
+    who = F.coalesce("speaker", F.lit(""))
+    sums = {"turn": (who != META).cast("bigint"), "users": (who == "user").cast("bigint")}
+    return running_sums(messages, ["session_key"], F.floor(F.col("place") / size), [F.col("place").asc_nulls_first(), F.col("message_id")], sums)
 
 
 def session_defects(ordered: DataFrame) -> DataFrame:

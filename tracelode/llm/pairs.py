@@ -95,7 +95,9 @@ NAMED = re.compile(r"\S*[/_@#`=]\S*|\b\w+[-.]\w[\w.-]*\b")
 SENTENCE = re.compile(r"(?<=[.!?:。！？])[\"'”’)\]]*\s+|\n+")
 ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])(?:\s+|$)")
 ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]*_`]*$")
-DANGLING = re.compile(r"(?:[,;:(\[{\-–—/=&+<>]|\b0\.|/[\w-]+\.|[\"“«‘])$")
+# Words that no answer ends with.
+OPEN_WORDS = frozenset("the a an of and or because which with from while such than but if le la les des du et ou de que der die das ein eine und oder mit weil dass el los las una un y o con para por cuyo".split())
+DANGLING = re.compile(r"(?:\.\.\.|…|[,;:(\[{\-–—/=&+<>]|\b0\.|/[\w-]+\.|[\"“«‘])$")
 
 
 def nothing_said(text: str) -> bool:
@@ -230,7 +232,7 @@ def breaks_off(answer: str) -> bool | None:
     if text.endswith("```"):
         return False
     line = last_line(text)
-    if DANGLING.search(line):
+    if DANGLING.search(line) or line.rsplit(None, 1)[-1].lower() in OPEN_WORDS:
         return True
     if ITEM.match(line):
         item = ITEM.sub("", line)
