@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,32 @@ def release(spark: SparkSession) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = hadoop.Path(f"{shared_dir(spark)}/tracelode")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per session, unless they find it on PYTHONPATH or in the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    at_hand = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if root in at_hand or os.path.abspath(os.getcwd()) == root or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    image = io.BytesIO()
+    with zipfile.ZipFile(image, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(os.path.join(root, "tracelode")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    sc.addPyFile(write_shared(spark, f"package-{uuid.uuid4().hex[:12]}.zip", image.getvalue()))
+
+
+_shipped: set[str] = set()
+
+
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file into the shared folder, whatever its file system; returns its address."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracelode/{name}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data))
+    out.close()
+    return at.toString()
