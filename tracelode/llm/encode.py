@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.transducer import Lexicon, compile_lexicon
-from tracelode.session import shared_dir
+from tracelode.session import write_shared
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
@@ -84,11 +84,7 @@ def ship_lexicon(documents: DataFrame, folder: str, name: str) -> str:
     spark, enc = documents.sparkSession, vocabulary(folder, name)
     image = compile_lexicon({w.encode(): enc._encode_single_piece(w) for w in frequent_words(documents)})
     file = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracelode/{file}")
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(image))
-    out.close()
-    spark.sparkContext.addFile(at.toString())
+    spark.sparkContext.addFile(write_shared(spark, file, image))
     return file
 
 
