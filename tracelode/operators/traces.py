@@ -108,7 +108,6 @@ def outcomes(rows: DataFrame, success: tuple[str, ...] = SUCCESS_WORDS, failure:
     and the flags are merged.
     """
     text = F.lower("content")
-    flags = lambda words: F.array(*(text.contains(w) for w in words))
     some = messages(rows).select(
         "session_id", F.length("content").alias("size"), *(text.contains(w).alias(f"s{i}") for i, w in enumerate(success)), *(text.contains(w).alias(f"f{i}") for i, w in enumerate(failure)),
         ((F.col("role") == "user") & has_any(text, failure[:corrections])).alias("corrects"),
