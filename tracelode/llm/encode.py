@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.transducer import Lexicon, compile_lexicon
-from tracelode.session import write_shared
+from tracelode.session import materialise, write_shared
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
@@ -57,7 +57,8 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Itera
 
 
 def frequent_words(documents: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words over all texts (ties by word): at most ``most`` rows reach the driver."""
+    """The most frequent words over all texts, by classes of a quarter octave: as many whole classes as hold at
+    most ``most`` words. Only a histogram of the classes (a few hundred rows) and these words reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = regex.compile(PATTERN).findall, Counter()
@@ -76,7 +77,14 @@ def frequent_words(documents: DataFrame, most: int = LEXICON_WORDS) -> list[str]
             yield out()
 
     words = documents.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    classed = materialise(words.select("word", F.floor(4 * F.log2("n")).alias("class")), "words")
+    least, room = None, most
+    for r in sorted(classed.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["class"]
+    return [] if least is None else [r["word"] for r in classed.filter(F.col("class") >= least).select("word").collect()]
 
 
 def ship_lexicon(documents: DataFrame, folder: str, name: str) -> str:
