@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
 from tracelode.operators import similarity as S
+from tracelode.session import materialise
 
 
 def failed_checks(checks: dict[str, Column]) -> Column:
@@ -123,8 +124,8 @@ def section_similarity(pairs: DataFrame, features: int = 3000) -> DataFrame:
     key = F.concat_ws(":", "id", "section_no").alias("sid")
     old = sections(pairs, "doc_id", "baseline").select("id", key, "section")
     new = sections(pairs, "doc_id", "evolved").select("id", key, "section")
-    counts = S.term_counts(old, "sid", F.col("section"))
-    vocab = S.vocabulary(counts, old, features)
+    counts = materialise(S.term_counts(old, "sid", F.col("section")), "terms")
+    vocab = materialise(S.vocabulary(counts, old, features), "vocabulary")
     a = S.weights(S.term_counts(new, "sid", F.col("section")), vocab).withColumn("doc", F.substring_index("id", ":", 1))
     b = S.weights(counts, vocab).select(F.col("id").alias("other"), F.substring_index("id", ":", 1).alias("doc"), "term", F.col("w").alias("v"))
     best = a.join(b, ["doc", "term"]).groupBy("doc", "id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("c")).groupBy("doc", "id").agg(F.max("c").alias("c"))

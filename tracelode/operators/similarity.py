@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.text import STOPWORDS, word_set
+from tracelode.session import materialise
 
 
 def tokens(text: Column) -> Column:
@@ -18,14 +19,15 @@ def tokens(text: Column) -> Column:
 
 
 def grams(words: Column) -> Column:
-    """The words and the pairs of successive words."""
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    """The words and the pairs of successive words (words: a column, as it is used several times)."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words, F.array_compact(pairs))
 
 
 def term_counts(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf) in long form."""
-    return rows.select(F.col(id_col).alias("id"), F.explode(grams(tokens(F.coalesce(text, F.lit(""))))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = rows.select(F.col(id_col).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("words"))
+    return words.select("id", F.explode(grams(F.col("words"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, documents: DataFrame, features: int = 5000) -> DataFrame:
@@ -50,8 +52,8 @@ def tfidf_pairs(rows: DataFrame, id_col: str, left: str, right: str, features: i
 
     Rows without a common term are left out (their score is 0).
     """
-    fit = term_counts(rows, id_col, F.col(right))
-    vocab = vocabulary(fit, rows, features)
+    fit = materialise(term_counts(rows, id_col, F.col(right)), "terms")
+    vocab = materialise(vocabulary(fit, rows, features), "vocabulary")
     a, b = weights(term_counts(rows, id_col, F.col(left)), vocab), weights(fit, vocab)
     return a.join(b.withColumnRenamed("w", "v"), ["id", "term"]).groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("score"))
 
@@ -83,9 +85,9 @@ def overlap_feedback(expected: Column, given: Column) -> Column:
 def similar_sets(queries: DataFrame, rows: DataFrame, id_col: str, text_col: str, above: float = 0.25, most: int = 5) -> DataFrame:
     """(query_id, id, jaccard, rank): for each query the rows of highest word-set Jaccard above a bound.
 
-    Queries are a stated set. A pair above the bound shares one of the first n - ceil(above * n) + 1 words of
-    either set, rarest first (words counted over all rows), so the frequent words are not joined on; candidates
-    are then compared in full.
+    Queries are a stated set. A pair above the bound has need = ceil(above / (1 + above) * (nq + nr)) words in
+    common, and shares c of the first n - need + c words of either set, rarest first (words counted over all
+    rows). So the frequent words are not joined on; pairs that share enough (c = 3) are compared in full.
     """
     make = lambda d: d.select(F.col(id_col).alias("id"), word_set(F.coalesce(text_col, F.lit(""))).alias("words"))
     q, r = make(queries), make(rows)
@@ -94,10 +96,15 @@ def similar_sets(queries: DataFrame, rows: DataFrame, id_col: str, text_col: str
     def heads(sets: DataFrame) -> DataFrame:
         words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).join(often, "word", "left").fillna(0, ["often"])
         place = F.row_number().over(Window.partitionBy("id").orderBy("often", "word"))
-        return words.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * above) + 1).select("id", "n", "word")
-
-    a, b = heads(q).select(F.col("id").alias("query_id"), F.col("n").alias("nq"), "word"), heads(r)
-    near = a.join(b, "word").filter((F.col("query_id") != F.col("id")) & (F.least("nq", "n") >= above * F.greatest("nq", "n"))).select("query_id", "id").distinct()
+        return words.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * above) + shared).select("id", "n", "word", "place")
+
+    shared = 3
+    a, b = heads(q).select(F.col("id").alias("query_id"), F.col("n").alias("nq"), "word", F.col("place").alias("pq")), heads(r)
+    need = F.ceil(F.lit(above / (1 + above)) * (F.col("nq") + F.col("n")) - F.lit(1e-9))
+    least = F.least(F.lit(shared), need)
+    fits = (F.col("query_id") != F.col("id")) & (F.least("nq", "n") >= above * F.greatest("nq", "n")) & (F.col("pq") <= F.col("nq") - need + least) & (F.col("place") <= F.col("n") - need + least)
+    met = a.join(b, "word").filter(fits).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"), F.max(least).alias("least"))
+    near = met.filter(F.col("c") >= F.col("least")).select("query_id", "id")
     full = near.join(q.select(F.col("id").alias("query_id"), F.col("words").alias("q")), "query_id").join(r, "id")
     common = F.size(F.array_intersect("q", "words"))
     scored = full.withColumn("jaccard", common / (F.size("q") + F.size("words") - common)).filter(F.col("jaccard") > above)

@@ -18,6 +18,7 @@ from tracelode.operators import schema_drift
 from tracelode.operators import scorelog as L
 from tracelode.operators import similarity as S
 from tracelode.operators import traces as X
+from tracelode.session import materialise
 from tracelode.streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,7 +557,7 @@ def example_tfidf_score(rows):
 
 @query(_EX, f"{_TFIDF}, n AS (SELECT count(DISTINCT id) AS n FROM b), q AS (SELECT sum(s * s) AS q FROM (SELECT term, sum(w) AS s FROM b GROUP BY 1)) SELECT n, round(1 - (q - n) / (n * (n - 1)), 5) AS diversity FROM n, q")
 def example_diversity(rows):
-    fit = S.term_counts(rows, "example_id", F.col("expected_behavior"))
+    fit = materialise(S.term_counts(rows, "example_id", F.col("expected_behavior")), "terms")
     return S.diversity(S.weights(fit, S.vocabulary(fit, rows)))
 
 
