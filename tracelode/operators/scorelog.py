@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.session import materialise
+
 #: Scores of the lowest and highest ends that tell answers apart no more.
 DEAD_LOW, DEAD_HIGH = 0.05, 0.95
 UNCERTAIN = (0.35, 0.70)
@@ -57,20 +59,24 @@ def by_skill_generation(log: DataFrame) -> DataFrame:
 
 
 def moments(log: DataFrame) -> DataFrame:
-    """Per generation: rows, errors, scored rows, sum and sum of squares; these add up over generations."""
+    """Per generation (null is one): rows, errors, scored rows, sum and sum of squares, dead-zone rows; all of them
+    add up over generations."""
     s = good_score()
-    return log.filter("generation is not null").groupBy("generation").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.count(s).alias("k"), F.coalesce(F.sum(s), F.lit(0.0)).alias("sx"), F.coalesce(F.sum(s * s), F.lit(0.0)).alias("sxx")
-    )
+    return log.groupBy("generation").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"), F.count(s).alias("k"), F.coalesce(F.sum(s), F.lit(0.0)).alias("sx"), F.coalesce(F.sum(s * s), F.lit(0.0)).alias("sxx"),
+        F.count_if((s <= DEAD_LOW) | (s >= DEAD_HIGH)).alias("dead"),
+    )
 
 
 def since_generation(log: DataFrame) -> DataFrame:
-    """Statistics of all rows of a generation or a later one, for each generation.
+    """Statistics of all rows of a generation or a later one, for each generation."""
+    return since(moments(log))
 
-    The window adds up the moments of the generations, not the rows.
-    """
+
+def since(per_generation: DataFrame) -> DataFrame:
+    """The same from moments(): the window adds up the moments of the generations, not the rows."""
     later = Window.orderBy("generation").rowsBetween(0, Window.unboundedFollowing)
-    m = moments(log)
+    m = per_generation.filter("generation is not null")
     for c in ("n", "errors", "k", "sx", "sxx"):
         m = m.withColumn(c, F.sum(c).over(later))
     k, sx = F.col("k"), F.col("sx")
@@ -91,16 +97,19 @@ def _sustained(rows: DataFrame, code: str, value: str, breach: Column, limit: fl
 def health_alerts(log: DataFrame) -> DataFrame:
     """(code, value, threshold, generation): alerts on flat, lenient or harsh scoring, errors, dead zones.
 
-    The first three need SUSTAINED successive generations, each judged on all rows since it. The number of
-    generations is the number of scoring rounds; only one row per generation is collected into a list.
+    The first three need SUSTAINED successive generations, each judged on all rows since it. The log is read once;
+    everything follows from one row of moments per generation, i.e. per scoring round.
     """
-    since = since_generation(log)
-    whole = summary(log)
+    m = materialise(moments(log), "moments")
+    later = since(m)
+    whole = m.agg(
+        rounded(F.coalesce(F.try_divide(F.sum("errors"), F.sum("n")), F.lit(0.0))).alias("error_rate"), rounded(F.coalesce(F.try_divide(F.sum("dead"), F.sum("k")), F.lit(0.0))).alias("dead_zone"), F.max("generation").alias("latest_generation")
+    )
     one = lambda code, value, limit: whole.filter(F.col(value) > limit).select(F.lit(code).alias("code"), F.col(value).alias("value"), F.lit(limit).alias("threshold"), F.col("latest_generation").alias("generation"))
     parts = [
-        _sustained(since, "STD_DEV_FLAT", "std_score", F.col("std_score") < STD_FLOOR, STD_FLOOR),
-        _sustained(since, "RUBBER_STAMP", "mean_score", F.col("mean_score") > MEAN_CEILING, MEAN_CEILING),
-        _sustained(since, "OVERLY_HARSH", "mean_score", F.col("mean_score") < MEAN_FLOOR, MEAN_FLOOR),
+        _sustained(later, "STD_DEV_FLAT", "std_score", F.col("std_score") < STD_FLOOR, STD_FLOOR),
+        _sustained(later, "RUBBER_STAMP", "mean_score", F.col("mean_score") > MEAN_CEILING, MEAN_CEILING),
+        _sustained(later, "OVERLY_HARSH", "mean_score", F.col("mean_score") < MEAN_FLOOR, MEAN_FLOOR),
         one("JUDGE_ERRORS", "error_rate", ERROR_CEILING),
         one("DEAD_ZONE", "dead_zone", DEAD_CEILING),
     ]
