@@ -115,7 +115,7 @@ def near_duplicate_pairs(records: DataFrame, id_col: str, columns: list[str], th
     """
     nodes = with_node(records.select(id_col, *columns), *columns)
     links = near_duplicate_nodes(nodes, threshold, width)
-    members = membership(nodes, id_col, width)
+    members = materialise(membership(nodes, id_col, width), "members")
     a, b = (members.select(F.col("node").alias(f"node_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
     across = links.join(a, "node_a").join(b, "node_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     same = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -134,7 +134,7 @@ def near_duplicate_classes(records: DataFrame, id_col: str, columns: list[str],
 
     nodes = with_node(records.select(id_col, *columns), *columns)
     links = materialise(near_duplicate_nodes(nodes, threshold, width).select("node_a", "node_b"), "links")
-    has = membership(nodes, id_col, width)
+    has = materialise(membership(nodes, id_col, width), "members")
     size = has.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
     size = materialise(size, "classes")
     both = links.union(links.select("node_b", "node_a"))

@@ -105,7 +105,7 @@ def split_overlaps(records: DataFrame, id_col: str, columns: list[str], threshol
     sided = with_node(records, *columns).withColumn("side", F.when(split == train, 0).when(split.isin(*evaluation), 1))
     sided = sided.filter("side is not null").select(F.col(id_col), "node", "text", "side")
     links = materialise(split_overlap_nodes(sided, threshold, width), "overlaps")
-    members = membership(sided, id_col, width, "side")
+    members = materialise(membership(sided, id_col, width, "side"), "members")
     a = members.filter("side = 1").select(F.col("node").alias("node_a"), F.col("id").alias("eval_id"))
     b = members.filter("side = 0").select(F.col("node").alias("node_b"), F.col("id").alias("train_id"))
     across = links.join(a, "node_a").join(b, "node_b").select("eval_id", "train_id", "similarity")
