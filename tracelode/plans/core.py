@@ -770,10 +770,10 @@ def score_weakest_tasks(log):
     return C.weakest(means, "skill_name", "m", "task_id").select("skill_name", "task_id", "rank")
 
 
-@query("run_report", """SELECT run_id, skill, ts FROM run_report ORDER BY coalesce(CASE optimizer_type WHEN 'gepa' THEN 0 WHEN 'MIPROv2' THEN 1 END, 2), coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '9999-99-99'), run_id || '/' || skill, elapsed_seconds LIMIT 25""")
+@query("run_report", """SELECT run_id, skill, ts FROM run_report ORDER BY coalesce(CASE eval_source WHEN 'golden' THEN 0 WHEN 'sessiondb' THEN 1 END, 2), coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '9999-99-99'), run_id || '/' || skill, elapsed_seconds LIMIT 25""")
 def run_by_priority(runs):
     r = runs.withColumn("due", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).withColumn("tie", F.concat(F.col("run_id"), F.lit("/"), F.col("skill")))
-    return C.by_priority(r, {"gepa": 0, "MIPROv2": 1}, "optimizer_type", "due", "tie").select("run_id", "skill", "ts").limit(25)
+    return C.by_priority(r, {"golden": 0, "sessiondb": 1}, "eval_source", "due", "tie").select("run_id", "skill", "ts").limit(25)
 
 
 @query(_EX, """SELECT example_id, CASE WHEN p <= a THEN 'train' WHEN p <= a + greatest(1, CAST(floor((n - a) / 2) AS BIGINT)) THEN 'val' ELSE 'holdout' END AS split FROM
