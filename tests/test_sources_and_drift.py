@@ -82,6 +82,17 @@ def test_planted_changes(spark):
     assert t.filter(F.col("score").isNull()).count() == 0
 
 
+def test_no_value_becomes_null(spark):
+    odd = {"at": "2025-01-28T03:49:57", "passed": 7, "number": 2**63 + 1, "done": "yes"}
+    records = [{"at": 1737009908000 + i, "passed": i % 2 == 0, "number": i, "done": True} for i in range(4)] + [odd]
+    lines = exported(spark, [("eval/a", records), ("eval/a", [{"at": "2025-03-01T10:00:00", "number": 9.5}])])
+    t = schema_drift.consistent_table(lines, "eval")
+    assert dict(t.dtypes) == {"file_name": "string", "line_no": "int", "at": "string", "passed": "string", "number": "string", "done": "boolean"}
+    got = {(r.file_name, r.line_no): r for r in t.collect()}
+    assert len(got) == 6 and got["eval/a/0", 0].at == "1737009908000" and got["eval/a/0", 4].at == odd["at"] and got["eval/a/1", 0].at == "2025-03-01T10:00:00"
+    assert [got["eval/a/0", i].passed for i in (0, 1, 4)] == ["true", "false", "7"] and got["eval/a/0", 4].number == str(odd["number"]) and got["eval/a/0", 4].done is True
+
+
 def test_no_files(spark):
     lines = exported(spark, [("eval/a", [{"x": 1}])]).limit(0)
     assert schema_drift.schema_changes(lines).count() == 0

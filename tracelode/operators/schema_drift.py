@@ -59,13 +59,17 @@ def type_of(value: object) -> str:
 
 
 _DIGIT = re.compile(r"\d")
+_INTEGER = re.compile(r"\s*[+-]?\d+\s*")
 _WORDS_AT = 11 + len(MARKS)
+_UNHELD_AT = _WORDS_AT + DIMS
+#: Types that some values cannot be read as; a string or an array holds any.
+PARTIAL = ("number", "boolean")
 
 
 class Profile:
-    """A mergeable summary of a field's values in one file: types, sizes, magnitudes and words."""
+    """A mergeable summary of a field's values in one file: types, sizes, magnitudes, words and what other types cannot hold."""
 
-    SIZE = 4 + 5 + len(MARKS) + 2 + DIMS
+    SIZE = 4 + 5 + len(MARKS) + 2 + DIMS + len(PARTIAL)
     buckets: dict[str, int] = {}
 
     def __init__(self) -> None:
@@ -94,6 +98,8 @@ class Profile:
                     self.buckets.clear()
                 b = self.buckets[w] = _WORDS_AT + zlib.crc32(w.encode()) % DIMS
             s[b] += 1
+        for i, to in enumerate(PARTIAL):
+            s[_UNHELD_AT + i] += as_type(value, to) is None
 
 
 def _number(value: object) -> float | None:
@@ -110,6 +116,12 @@ def field_type(sums: np.ndarray) -> str:
     return TYPES[int(np.argmax(sums[:4]))]
 
 
+def column_type(sums: np.ndarray) -> str:
+    """The type of most values if it holds them all, else string."""
+    kind = field_type(sums)
+    return "string" if kind in PARTIAL and sums[_UNHELD_AT + PARTIAL.index(kind)] else kind
+
+
 def values_alike(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: how alike two fields' values are."""
     na, nb = a[:4].sum(), b[:4].sum()
@@ -118,7 +130,7 @@ def values_alike(a: np.ndarray, b: np.ndarray) -> float:
         return math.exp(-abs(x[6] - y[6]) / 2.0) * (1 - 0.5 * abs(x[7] - y[7]) * (min(x[7], y[7]) < 0.6)) * (1 - 0.4 * abs(x[8] - y[8]))
     if (a[5] > 0.5 * na) != (b[5] > 0.5 * nb):
         return 0.0
-    x, y = np.sqrt(a[_WORDS_AT:]), np.sqrt(b[_WORDS_AT:])
+    x, y = np.sqrt(a[_WORDS_AT:_UNHELD_AT]), np.sqrt(b[_WORDS_AT:_UNHELD_AT])
     cosine = float(x @ y) / (math.sqrt(float(x @ x) * float(y @ y)) or 1.0)
     marks = [z[9 : _WORDS_AT - 1] / max(z[_WORDS_AT - 1], 1.0) for z in (a, b)]
     form = 1 - min(1.0, 2 * float(np.abs(marks[0] - marks[1]).sum()))
@@ -279,7 +291,7 @@ def column_names(changes: DataFrame, profiles: DataFrame) -> dict[str, tuple[str
 
     So are paths of different streams that never stand in one file and whose values and names, over all files,
     are alike beyond doubt (cost up to SAME). The column goes by the path that most files use (ties by name),
-    its type by most values. Only the distinct paths, renames and pairs of paths of a file, i.e. the schema
+    its type by most values, or string if that type cannot hold all of them. Only the distinct paths, renames and pairs of paths of a file, i.e. the schema
     itself, reach the driver.
     """
     renames = [(r["field_name"], r["new_name"]) for r in changes.filter("change = 'renamed'").select("field_name", "new_name").distinct().collect()]
@@ -314,7 +326,7 @@ def column_names(changes: DataFrame, profiles: DataFrame) -> dict[str, tuple[str
     out = {}
     for paths in groups.values():
         name = min(paths, key=lambda p: (-used[p][0], p))
-        kind = field_type(sum(used[p][1] for p in paths))
+        kind = column_type(sum(used[p][1] for p in paths))
         out.update({p: (name.replace(".", "_"), kind) for p in paths})
     return out
 
@@ -324,11 +336,14 @@ def as_type(value: object, kind: str) -> object:
     if value is None:
         return None
     if kind == "number":
-        return float(value) if isinstance(value, bool) else _number(value)
+        if isinstance(value, (bool, float)):
+            return float(value)
+        x, whole = _number(value), isinstance(value, int) or isinstance(value, str) and _INTEGER.fullmatch(value)
+        return None if x is None or whole and int(x) != int(value) else x  # type: ignore[call-overload]
     if kind == "boolean":
         if isinstance(value, str):
             return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(value.strip().lower())
-        return None if isinstance(value, list) else bool(value)
+        return bool(value) if value in (0, 1) else None
     if kind == "array":
         return [x if isinstance(x, str) else json.dumps(x) for x in value] if isinstance(value, list) else [x.strip() for x in str(value).split(",")] if str(value).strip() else []
     return ",".join(map(str, value)) if isinstance(value, list) else json.dumps(value) if isinstance(value, bool) else str(value)
@@ -338,7 +353,8 @@ def consistent_table(lines: DataFrame, kind: str) -> DataFrame:
     """All readable records of the streams of one kind ("kind/...") in one table, fields under one name and type.
 
     Columns: file_name, line_no, then the fields by name. A line delivered twice (same file, number and payload)
-    counts once; unreadable lines are left out; a field that a record lacks, or has as null, is null.
+    counts once; unreadable lines are left out; a field that a record lacks, or has as null, is null. No other value
+    becomes null: a column is of a type that holds all its values, string where the type of most of them does not.
     """
     own = lines.filter(F.substring_index("stream", "/", 1) == kind)
     profiles = materialise(field_profiles(own), "profiles")
