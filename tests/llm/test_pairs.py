@@ -26,6 +26,16 @@ def test_defects(spark):
     assert got == {i: d for i, _, _, d in CASES if d}
 
 
+def test_who_must_decline():
+    for answer in (
+        "I must decline, because indexing tasks of this kind is something I do not do.", "This goes against my guidelines and I won't continue. I must decline, and I stop here.", "I'm sorry, but I must refuse.",
+        "I am sorry but must decline.", "I therefore must respectfully decline.", "As an assistant, I, regrettably, must decline.",
+    ):
+        assert pairs.refuses(TASK, answer), answer
+    for answer in ("The agent must refuse to print the key. I cannot help with that.", "Must decline: I cannot help with that.", "I think it must refuse. I cannot help with that.", "I must say that went well."):
+        assert not pairs.refuses(TASK, answer), answer
+
+
 def test_list_items_are_judged_by_other_ends(spark):
     whole = "Steps.\n- open the card and close the gate\n- read the log and close the gate\n- close the gate"
     rows = [(i, TASK, whole) for i in range(5)] + [(9, TASK, "Steps.\n- open the card and close the gate\n- read the log and close")]

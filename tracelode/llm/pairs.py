@@ -69,6 +69,8 @@ TEMPLATES = tuple(
 CLOSING = re.compile(r"^(?:thank|thanks|merci|danke|vielen dank|gracias|please (?:ask|contact|try)|answer|response|antwort|réponse|respuesta|question|task|no|sorry)\b")
 # Wanted behaviour is described, not refused.
 DESCRIBES = re.compile(r"\b(?:should|must (?:refuse|decline|say)|the (?:response|agent|assistant|answer|model|reply) (?:should|must|will|has to)|expected to|soll(?:te)?n?|muss der|doit|devrait|debe(?:ría)?n?)\b", re.I)
+# who must is the one who answers: "I must", "I'm sorry, but must", "I therefore must"
+OWN_MUST = re.compile(r"\b(?:i|we)\b(?:[\s,;’'–—-]+(?:m|am|re|are|sorry|afraid|regret|apologi[sz]e|and|but|so|therefore|thus|hence|however|also|then|still|\w+ly)\b)*[\s,;–—-]+must\b", re.I)
 MAY_REFUSE = re.compile(r"\b(?:i|me|my|ich|mir|je|m|debo|puedo|siento|tengo|niego|prefiero|posible|denied|sorry|unable|decline|désolé|impossible|guidelines|limits)\b", re.I)
 
 # Function words that (nearly) only one of the languages uses.
@@ -186,7 +188,7 @@ def refuses(task: str, answer: str) -> bool:
             continue
         if len(words) >= WIDTH and sum(w in task_tokens for w in words) >= 0.9 * len(words):
             continue
-        if DESCRIBES.search(sentence):
+        if DESCRIBES.search(OWN_MUST.sub(" ", sentence)):
             return False
         if refuses_sentence(words):
             refused = True
