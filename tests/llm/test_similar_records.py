@@ -109,6 +109,17 @@ def test_banded_programme_is_exact_within_the_band():
         assert got[0] == best
 
 
+def test_very_long_near_copies_overlap(spark):
+    words = [f"w{i}" for i in range(46_000)]
+    edited = list(words)
+    for k in (100, 20_000, 45_000):
+        edited[k] = f"x{k}"
+    rows = [(1, " ".join(words), None, "train", "s", "clash", 1), (2, " ".join(edited), None, "holdout", "s", "clash", 1)]
+    hits = [tuple(r) for r in split_overlap.split_overlaps(spark.createDataFrame(rows, SCHEMA), "example_id", TEXTS, 0.65).collect()]
+    n, edits = len(words) - 2, 3 * 3
+    assert [h[:2] for h in hits] == [(2, 1)] and hits[0][2] == pytest.approx((n - edits) / (n + edits))
+
+
 def test_words():
     w = shingles.words_of("Ｆull_width ①, naïve-ﬁle")
     assert w == ["full", "width", "1", "naïve", "file"]

@@ -42,7 +42,7 @@ def banded_common(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray,
     pad_b = np.full((m, max(a.shape[1], b.shape[1]) + width), -2, np.int64)
     pad_b[:, band : band + b.shape[1]] = b
     pad_b[:, band : band + b.shape[1]][np.arange(b.shape[1]) >= lb[:, None]] = -2
-    best = np.zeros((m, width + 1), np.int16)  # cell d of row i: prefixes of i and i + d - band symbols
+    best = np.zeros((m, width + 1), np.int32)  # cell d of row i: prefixes of i and i + d - band symbols
     for i in range(a.shape[1]):
         hit = (pad_b[:, i : i + width] == a[:, i : i + 1]) & (i < la)[:, None]
         step = np.maximum(best[:, :width] + hit, best[:, 1:])  # diagonal; from above
