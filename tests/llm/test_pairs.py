@@ -26,6 +26,15 @@ def test_defects(spark):
     assert got == {i: d for i, _, _, d in CASES if d}
 
 
+def test_copies_of_short_tasks(spark):
+    rows = [
+        (1, "Summarise cards", "summarise CARDS.", "copy"), (2, "Index", "Index", "copy"), (3, "总结报告中的变化", "总结报告中的变化", "copy"), (4, "Index it", "Index it. Index it.", "copy"),
+        (5, "Summarise cards", "Cards summarise.", None), (6, "Index", "Done", None), (7, "Index it", "Index it again", None), (8, None, "Index", None), (9, "?!", "Index", None), (10, TASK, "the report", None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "example_id int, task_input string, expected_behavior string")
+    assert {r.id: r.defect for r in pairs.broken_pairs(df, "example_id").collect()} == {r[0]: r[3] for r in rows if r[3]}
+
+
 def test_who_must_decline():
     for answer in (
         "I must decline, because indexing tasks of this kind is something I do not do.", "This goes against my guidelines and I won't continue. I must decline, and I stop here.", "I'm sorry, but I must refuse.",

@@ -290,9 +290,12 @@ def containment(tasks: list[str | None], answers: list[str | None], words: Words
 
 def copies(task: str, answer: str, of_answer: int, shared: int, of_task: int) -> bool:
     a = [w if isinstance(w, str) else w.decode() for w in words_of(answer)]
+    if of_answer == 0 or of_task == 0:  # too few words for a shingle: the same ones, or those of the task again and again
+        t = [w if isinstance(w, str) else w.decode() for w in words_of(task)]
+        return bool(a and t) and a == t * (len(a) // len(t))
     if len(a) < 8 and shared < 0.6 * of_task:
         return False
-    if of_answer == 0 or shared < COPIED * of_answer:
+    if shared < COPIED * of_answer:
         return False
     t = [w if isinstance(w, str) else w.decode() for w in words_of(task)]
     # an answer may repeat the task more than once
@@ -322,7 +325,7 @@ def broken_pairs(records: DataFrame, id_col: str, task_col: str = "task_input",
                     task = task or ""
                     if answer is None or nothing_said(answer):
                         defect = "empty"
-                    elif shared[i] >= COPIED * of_answer[i] and copies(task, answer, of_answer[i], shared[i], of_task[i]):
+                    elif (of_task[i] == 0 or shared[i] >= COPIED * of_answer[i]) and copies(task, answer, of_answer[i], shared[i], of_task[i]):
                         defect = "copy"
                     elif refuses(task, answer):
                         defect = "refusal"
