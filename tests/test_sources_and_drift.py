@@ -49,7 +49,10 @@ def test_runs_boards_and_others(spark, tmp_path):
     write(tmp_path / "s.csv", ["skill,baseline_score,note", "a,0.5,x", "b,,y"])
     assert [r.baseline_score for r in readers.read_stats(spark, str(tmp_path / "s.csv")).orderBy("skill").collect()] == [0.5, None]
     write(tmp_path / "k" / "a.md", ["# A"])
+    write(tmp_path / "k" / "b" / "c.md", ["---", "name: other", "---", "body of it"])
     assert readers.read_skills(spark, str(tmp_path / "k"), 1, 10).count() == 1
+    assert [r.path[-4:] for r in readers.read_skills(spark, str(tmp_path / "k")).collect()] == ["a.md", "c.md"]
+    assert [[r.path[-4:] for r in readers.find_skill(spark, str(tmp_path / "k"), n).collect()] for n in ("a", "b", "other", "no")] == [["a.md"], ["c.md"], ["c.md"], []]
     assert [tuple(r) for r in readers.descriptions(spark, '{"a": "x"}').collect()] == [("a", "x")]
     tasks = readers.from_templates(spark, spark.createDataFrame([(1, "t", "do {x}"), (2, "u", "no")], "template_id int, tool string, text string"), spark.createDataFrame([("t",)], "tool string"), {"x": "it"}, 2)
     assert [tuple(r) for r in tasks.collect()] == [("t", "do it", "easy")]
@@ -93,6 +96,27 @@ def test_no_value_becomes_null(spark):
     assert [got["eval/a/0", i].passed for i in (0, 1, 4)] == ["true", "false", "7"] and got["eval/a/0", 4].number == str(odd["number"]) and got["eval/a/0", 4].done is True
 
 
+def test_fields_of_one_file_are_two_columns(spark):
+    lines = exported(spark, [("eval/a", [{"note": f"open card {i}"} for i in range(4)]), ("eval/a", [{"notes": f"open card {i}"} for i in range(4)]), ("eval/a", [{"note": f"open card {i}", "notes": f"close gate {i}", "a.b": 1, "a_b": 2, "A_B": 3, "line_no": 9, "x": {"y": float("nan")}} for i in range(4)])])
+    assert ("eval/a/1", "renamed", "note", "notes") in {tuple(r) for r in schema_drift.schema_changes(lines).collect()}
+    t = schema_drift.consistent_table(lines, "eval")
+    assert len({c.lower() for c in t.columns}) == len(t.columns)
+    assert {(r.note, r.notes) for r in t.filter(F.col("file_name") == "eval/a/2").collect()} == {(f"open card {i}", f"close gate {i}") for i in range(4)}
+    assert {r.file_name: (r.records, r.n_values) for r in schema_drift.kept_values(lines, ("eval",)).collect()} == {"eval/a/0": (4, 4), "eval/a/1": (4, 4), "eval/a/2": (4, 28)}
+
+
+def test_moves(spark):
+    before = [{"meta": {"why": f"picked by hand {i}"}, "n": i} for i in range(5)]
+    lines = exported(spark, [("eval/a", before), ("eval/a", [{"why": r["meta"]["why"], "n": r["n"]} for r in before])])
+    assert [tuple(r)[1:] for r in schema_drift.schema_changes(lines, moves=True).collect()] == [("moved", "meta.why", "why")]
+
+
+def test_a_field_met_in_very_many_batches_adds_up(spark):
+    lines = exported(spark, [("eval/a", [{"x": i, "y": "a"} for i in range(300)])]).repartition(7)
+    got = {r.path: r.sums for r in schema_drift.field_profiles(lines).collect()}
+    assert got["x"][1] == 301 and got["y"][0] == 301 and set(got) == {"x", "y"}
+
+
 def test_no_files(spark):
     lines = exported(spark, [("eval/a", [{"x": 1}])]).limit(0)
     assert schema_drift.schema_changes(lines).count() == 0

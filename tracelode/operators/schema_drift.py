@@ -58,48 +58,61 @@ def type_of(value: object) -> str:
     return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "array" if isinstance(value, list) else "string"
 
 
-_DIGIT = re.compile(r"\d")
+_ZEROS = str.maketrans("123456789", "0" * 9)
 _INTEGER = re.compile(r"\s*[+-]?\d+\s*")
 _WORDS_AT = 11 + len(MARKS)
 _UNHELD_AT = _WORDS_AT + DIMS
 #: Types that some values cannot be read as; a string or an array holds any.
 PARTIAL = ("number", "boolean")
+#: Numbers of a profile: types, sizes, magnitudes, marks, words and what other types cannot hold. Profiles add up.
+SIZE = _UNHELD_AT + len(PARTIAL)
 
 
-class Profile:
-    """A mergeable summary of a field's values in one file: types, sizes, magnitudes, words and what other types cannot hold."""
-
-    SIZE = 4 + 5 + len(MARKS) + 2 + DIMS + len(PARTIAL)
-    buckets: dict[str, int] = {}
+class Profiler:
+    """Profiles of single values; those of short ones are remembered, up to a bound."""
 
     def __init__(self) -> None:
-        self.sums = np.zeros(self.SIZE)
-
-    def add(self, value: object) -> None:
-        s, kind = self.sums, type_of(value)
-        s[TYPES.index(kind)] += 1
-        text = ",".join(map(str, value)) if kind == "array" else str(value).lower() if kind == "boolean" else str(value)
-        s[4] += math.log1p(len(text))
+        self.buckets: dict[str, int] = {}
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def of(self, value: object) -> np.ndarray:
+        if isinstance(value, list) or isinstance(value, str) and len(value) > 40:
+            return self.make(value)
+        key = (type(value), value)
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            found = self.known[key] = self.make(value)
+        return found
+
+    def make(self, value: object) -> np.ndarray:
+        s, kind = [0.0] * SIZE, type_of(value)
+        s[TYPES.index(kind)] = 1.0
+        text = ",".join(map(str, value)) if kind == "array" else str(value).lower() if kind == "boolean" else str(value)  # type: ignore[call-overload]
+        s[4] = math.log1p(len(text))
         number = _number(value)
         if number is not None:
-            s[5] += 1
-            s[6] += math.asinh(100 * number)
-            s[7] += number == int(number) if abs(number) < 1e15 else 1
-            s[8] += number < 0
-        plain = _DIGIT.sub("0", text)
+            s[5] = 1.0
+            s[6] = math.asinh(100 * number)
+            s[7] = float(number == int(number) if abs(number) < 1e15 else 1)
+            s[8] = float(number < 0)
+        plain = text.translate(_ZEROS)
         for i, mark in enumerate(MARKS):
-            s[9 + i] += plain.count(mark)
-        s[9 + len(MARKS)] += plain.count("0")
-        s[10 + len(MARKS)] += len(plain)
+            s[9 + i] = float(plain.count(mark))
+        s[9 + len(MARKS)] = float(plain.count("0"))
+        s[10 + len(MARKS)] = float(len(plain))
+        buckets = self.buckets
         for w in _WORD.findall(plain.lower()):
-            b = self.buckets.get(w)
+            b = buckets.get(w)
             if b is None:
-                if len(self.buckets) > 100_000:
-                    self.buckets.clear()
-                b = self.buckets[w] = _WORDS_AT + zlib.crc32(w.encode()) % DIMS
-            s[b] += 1
-        for i, to in enumerate(PARTIAL):
-            s[_UNHELD_AT + i] += as_type(value, to) is None
+                if len(buckets) > 100_000:
+                    buckets.clear()
+                b = buckets[w] = _WORDS_AT + zlib.crc32(w.encode()) % DIMS
+            s[b] += 1.0
+        s[_UNHELD_AT] = 1.0 if kind == "string" and number is None else float(as_type(value, "number") is None)
+        s[_UNHELD_AT + 1] = float(as_type(value, "boolean") is None)
+        return np.array(s)
 
 
 def _number(value: object) -> float | None:
@@ -174,10 +187,14 @@ def cheapest_assignment(cost: np.ndarray) -> list[int]:
 
 
 def edit_script(before: dict[str, np.ndarray], after: dict[str, np.ndarray]) -> list[tuple[str, str, str]]:
-    """(change, field, new name) of the cheapest script between two schema trees, given as leaf profiles."""
+    """(change, field, new name) of the cheapest script between two schema trees, given as leaf profiles.
+
+    Leaves are added, removed, renamed, moved under another parent (and perhaps renamed there) or retyped.
+    """
     script = [("retyped", f, "") for f in before.keys() & after.keys() if field_type(before[f]) != field_type(after[f])]
     old, new = sorted(before.keys() - after.keys()), sorted(after.keys() - before.keys())
     n = len(old) + len(new)
+    over = lambda path: path.rpartition(".")[0]
     if n:
         cost = np.zeros((n, n))
         cost[: len(old), len(new) :] = DELETE
@@ -189,7 +206,7 @@ def edit_script(before: dict[str, np.ndarray], after: dict[str, np.ndarray]) ->
         for i, j in enumerate(cheapest_assignment(cost)):
             if i < len(old):
                 if j < len(new):
-                    script.append(("renamed", old[i], new[j]))
+                    script.append(("renamed" if over(old[i]) == over(new[j]) else "moved", old[i], new[j]))
                     if field_type(before[old[i]]) != field_type(after[new[j]]):
                         script.append(("retyped", new[j], ""))
                 else:
@@ -199,6 +216,43 @@ def edit_script(before: dict[str, np.ndarray], after: dict[str, np.ndarray]) ->
     return sorted(script)
 
 
+def _added_up(profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the sums of its rows, and how many they are (``files``), or the sum of that column.
+
+    Sorted runs are added up in numpy, within each task before the shuffle and again after it.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the last key, whose rows may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = list(zip(*(b.column(k).to_pylist() for k in keys)))
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            sums = np.add.reduceat(b.column("sums").flatten().to_numpy().reshape(-1, SIZE), starts, axis=0)
+            files = np.add.reduceat(b.column("files").to_numpy(), starts)
+            met = [names[i] for i in starts]
+            if held is not None and held[0] == met[0]:
+                sums[0] += held[1]
+                files[0] += held[2]
+            elif held is not None:
+                yield batch([held[0]], held[1][None, :], np.array([held[2]]))
+            if len(met) > 1:
+                yield batch(met[:-1], sums[:-1], files[:-1])
+            held = (met[-1], sums[-1], files[-1])
+        if held is not None:
+            yield batch([held[0]], held[1][None, :], np.array([held[2]]))
+
+    def batch(names: list[tuple], sums: np.ndarray, files: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * SIZE), pa.array(sums.ravel()))
+        return pa.record_batch({**{k: pa.array([x[i] for x in names], pa.string()) for i, k in enumerate(keys)}, "sums": lists, "files": pa.array(files.astype(np.int64))})
+
+    schema = ", ".join(f"{k} string" for k in keys) + ", sums array<double>, files bigint"
+    rows = profiles.select(*keys, "sums", profiles["files"] if "files" in profiles.columns else F.lit(1).cast("bigint").alias("files"))
+    within = rows.sortWithinPartitions(*keys).mapInArrow(add, schema)
+    return within.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, schema)
+
+
 def field_profiles(lines: DataFrame) -> DataFrame:
     """(file_name, path, sums): one profile of each field of each file.
 
@@ -206,35 +260,33 @@ def field_profiles(lines: DataFrame) -> DataFrame:
     """
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[tuple[str, str], Profile] = defaultdict(Profile)
+        met: dict[tuple[str, str], np.ndarray] = {}
+        values = Profiler()
 
         def out() -> pa.RecordBatch:
             keys = list(met)
-            return pa.record_batch({
-                "file_name": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()),
-                "sums": pa.array([met[k].sums.tolist() for k in keys], pa.list_(pa.float64())),
-            })
+            flat = pa.array(np.concatenate([met[k] for k in keys]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * SIZE), flat)
+            return pa.record_batch({"file_name": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()), "sums": lists})
 
         for b in batches:
             for name, payload in zip(b.column("file_name").to_pylist(), b.column("payload").to_pylist()):
                 record = read_record(payload)
                 if record is not None and name is not None:
                     for path, value in leaves(record):
-                        met[name, path].add(value)
+                        sums = met.get((name, path))
+                        if sums is None:
+                            met[name, path] = values.of(value).copy()
+                        else:
+                            sums += values.of(value)
             if len(met) > 20_000:
                 yield out()
                 met.clear()
         if met:
             yield out()
 
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(Profile.SIZE)
-        for b in batches:
-            total += b.column("sums").flatten().to_numpy().reshape(-1, Profile.SIZE).sum(axis=0)
-        yield pa.record_batch({"file_name": pa.array([key[0].as_py()]), "path": pa.array([key[1].as_py()]), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
-
-    schema = "file_name string, path string, sums array<double>"
-    return lines.select("file_name", "payload").mapInArrow(profile, schema).groupBy("file_name", "path").applyInArrow(merge, schema)
+    partial = lines.select("file_name", "payload").mapInArrow(profile, "file_name string, path string, sums array<double>")
+    return _added_up(partial, ["file_name", "path"]).drop("files")
 
 
 def file_order(lines: DataFrame) -> DataFrame:
@@ -244,14 +296,14 @@ def file_order(lines: DataFrame) -> DataFrame:
     return files.select("stream", "file_name", F.lag("file_name").over(order).alias("before"))
 
 
-def schema_changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def schema_changes(lines: DataFrame, profiles: DataFrame | None = None, moves: bool = False) -> DataFrame:
     """(file_name, change, field_name, new_name): every change of a file against the one before it in its stream.
 
     lines: file_name, stream, written_at, payload. change is added, removed, renamed or retyped; new_name is ''
     unless renamed. A field is a key (dotted path) with a non-null value in any readable record of the file; its
     type is the one most of its values have. Unreadable lines count for nothing, a file without readable lines
     has no fields; the first file of a stream has no changes. Lines delivered twice change nothing. profiles:
-    those of the lines, where they are known already.
+    those of the lines, where they are known already. moves: say moved, not renamed, of a field under another parent.
     """
     profiles = profiles if profiles is not None else materialise(field_profiles(lines), "profiles")
     pairs = file_order(lines).filter("before is not null").select("file_name", "before")
@@ -264,7 +316,7 @@ def schema_changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataF
         sides: tuple[dict, dict] = ({}, {})
         for after, path, sums in zip(*(table.column(c).to_pylist() for c in ("after", "path", "sums"))):
             sides[after][path] = np.array(sums)
-        rows = edit_script(*sides)
+        rows = [("renamed" if c == "moved" and not moves else c, f, n) for c, f, n in edit_script(*sides)]
         return pa.table({
             "file_name": pa.array([key[0].as_py()] * len(rows), pa.string()),
             **{c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(("change", "field_name", "new_name"))},
@@ -274,60 +326,85 @@ def schema_changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataF
 
 
 def whole_profiles(profiles: DataFrame) -> DataFrame:
-    """(path, files, sums): each path's profile over all files."""
+    """(path, sums, files): each path's profile over all files, and their number."""
+    return _added_up(profiles, ["path"])
 
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(Profile.SIZE), 0
-        for b in batches:
-            total += b.column("sums").flatten().to_numpy().reshape(-1, Profile.SIZE).sum(axis=0)
-            n += b.num_rows
-        yield pa.record_batch({"path": pa.array([key[0].as_py()]), "files": pa.array([n], pa.int64()), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
-    return profiles.select("path", "sums").groupBy("path").applyInArrow(merge, "path string, files bigint, sums array<double>")
+class Groups:
+    """Paths in groups, each path alone at first; a group goes by one of its paths."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.top, self.members = {p: p for p in paths}, {p: [p] for p in paths}
+
+    def find(self, x: str) -> str:
+        while self.top[x] != x:
+            x = self.top[x]
+        return x
+
+    def join(self, x: str, y: str, apart: set[frozenset] = frozenset()) -> None:  # type: ignore[assignment]
+        """Makes the groups of x and y one, unless a path of one is not to be joined with a path of the other."""
+        x, y = self.find(x), self.find(y)
+        if x != y and not any(frozenset((p, q)) in apart for p in self.members[x] for q in self.members[y]):
+            self.top[y] = x
+            self.members[x] += self.members.pop(y)
+
+
+def _together(profiles: DataFrame, links: list[tuple[str, str]], groups: Groups) -> set[frozenset]:
+    """Of the paths that the links could join, the pairs that stand in one file: they are two fields."""
+    linked = Groups(list(groups.members))
+    for x, y in links:
+        linked.join(groups.find(x), groups.find(y))
+    asked = []
+    for tops in linked.members.values():
+        paths = [p for t in tops for p in groups.members[t]]
+        asked += [(p, q) for i, p in enumerate(paths) for q in paths[i + 1 :]] if len(tops) > 1 else []
+    if not asked:
+        return set()
+    pairs = profiles.sparkSession.createDataFrame(asked, "path string, other string")
+    of = profiles.select("file_name", "path")
+    both = of.join(pairs, "path").join(of.withColumnRenamed("path", "other"), ["file_name", "other"])
+    return {frozenset(r) for r in both.select("path", "other").distinct().collect()}
 
 
 def column_names(changes: DataFrame, profiles: DataFrame) -> dict[str, tuple[str, str]]:
     """Path -> (column, type) for one kind of record: paths linked by renames, in any stream, are one column.
 
-    So are paths of different streams that never stand in one file and whose values and names, over all files,
-    are alike beyond doubt (cost up to SAME). The column goes by the path that most files use (ties by name),
-    its type by most values, or string if that type cannot hold all of them. Only the distinct paths, renames and pairs of paths of a file, i.e. the schema
-    itself, reach the driver.
+    So are paths whose values and names, over all files, are alike beyond doubt (cost up to SAME). Paths that stand
+    in one file never are: a chain of renames is cut there. The column goes by the path that most files use (ties by
+    name, "." as "_", a number behind names that are taken), its type by most values, or string if that type cannot
+    hold all of them. Only the distinct paths and renames, i.e. the schema itself, and pairs of the paths that could
+    be one column reach the driver.
     """
-    renames = [(r["field_name"], r["new_name"]) for r in changes.filter("change = 'renamed'").select("field_name", "new_name").distinct().collect()]
+    found = changes.filter("change = 'renamed'").groupBy("field_name", "new_name").agg(F.count(F.lit(1)).alias("k")).collect()
     used = {r["path"]: (r["files"], np.array(r["sums"])) for r in whole_profiles(profiles).collect()}
-    other = profiles.select("file_name", F.col("path").alias("other"))
-    together = {frozenset(r) for r in profiles.select("file_name", "path").join(other, "file_name").filter("path < other").select("path", "other").distinct().collect()}
-    top = {p: p for p in used}
-
-    def find(x: str) -> str:
-        while top[x] != x:
-            x = top[x]
-        return x
-
+    renames = [(r["field_name"], r["new_name"]) for r in sorted(found, key=lambda r: (-r["k"], r["field_name"], r["new_name"])) if r["field_name"] in used and r["new_name"] in used]
+    groups = Groups(sorted(used))
+    apart = _together(profiles, renames, groups)
     for a, b in renames:
-        if a in top and b in top:
-            top[find(a)] = find(b)
-    groups: dict[str, list[str]] = defaultdict(list)
-    for p in sorted(used):
-        groups[find(p)].append(p)
+        groups.join(a, b, apart)
+    total = {g: sum(used[p][1] for p in paths) for g, paths in groups.members.items()}
 
     def cost(x: str, y: str) -> float:
-        a, b = (sum(used[p][1] for p in groups[g]) for g in (x, y))
-        alike = max(names_alike(p, q) for p in groups[x] for q in groups[y])
-        return UNLIKE_VALUES * (1 - values_alike(a, b)) + UNLIKE_NAMES * (1 - alike) + RETYPE * (field_type(a) != field_type(b))
-
-    keys = sorted(groups)
-    for c, x, y in sorted((cost(x, y), x, y) for i, x in enumerate(keys) for y in keys[i + 1 :]):
-        x, y = find(x), find(y)
-        if c <= SAME and x != y and not any(frozenset((p, q)) in together for p in groups[x] for q in groups[y]):
-            top[y] = x
-            groups[x] += groups.pop(y)
-    out = {}
-    for paths in groups.values():
-        name = min(paths, key=lambda p: (-used[p][0], p))
-        kind = column_type(sum(used[p][1] for p in paths))
-        out.update({p: (name.replace(".", "_"), kind) for p in paths})
+        alike = max(names_alike(p, q) for p in groups.members[x] for q in groups.members[y])
+        return UNLIKE_VALUES * (1 - values_alike(total[x], total[y])) + UNLIKE_NAMES * (1 - alike)
+
+    of_type: dict[str, list[str]] = defaultdict(list)
+    for g in sorted(total):
+        of_type[field_type(total[g])].append(g)  # another type costs more than SAME
+    alike = sorted((c, x, y) for keys in of_type.values() for i, x in enumerate(keys) for y in keys[i + 1 :] if (c := cost(x, y)) <= SAME)
+    apart = _together(profiles, [(x, y) for _, x, y in alike], groups)
+    for _, x, y in alike:
+        groups.join(x, y, apart)
+    out, taken = {}, {"file_name", "line_no"}
+    for paths in sorted((min(p, key=lambda x: (-used[x][0], x)), p) for p in groups.members.values()):
+        name = first = paths[0].replace(".", "_")
+        k = 1
+        while name.lower() in taken:
+            k += 1
+            name = f"{first}_{k}"
+        taken.add(name.lower())
+        kind = column_type(sum(used[p][1] for p in paths[1]))
+        out.update({p: (name, kind) for p in paths[1]})
     return out
 
 
@@ -383,3 +460,15 @@ def consistent_table(lines: DataFrame, kind: str) -> DataFrame:
             yield pa.record_batch([given.column("file_name"), given.column("line_no"), *fields], names=["file_name", "line_no", *(c for c, _ in columns)])
 
     return own.select("file_name", "line_no", "payload").distinct().mapInArrow(project, schema)
+
+
+def kept_values(lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(file_name, records, n_values): what the consistent tables hold of each file, to be held against its lines."""
+    out = None
+    for kind in kinds:
+        t = consistent_table(lines, kind)
+        fields = [c for c in t.columns if c not in ("file_name", "line_no")]
+        held = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in fields), F.lit(0))
+        part = t.groupBy("file_name").agg(F.count(F.lit(1)).alias("records"), F.sum(held).alias("n_values"))
+        out = part if out is None else out.unionByName(part)
+    return out

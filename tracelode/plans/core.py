@@ -67,6 +67,17 @@ def p6_report_records(lines):
     return schema_drift.consistent_table(lines, "report")
 
 
+@query(
+    "raw_export",
+    """WITH l AS (SELECT DISTINCT file_name, line_no, payload FROM raw_export WHERE stream LIKE 'eval/%' OR stream LIKE 'report/%'),
+    r AS (SELECT file_name, json(payload) AS j FROM l WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+    v AS (SELECT file_name, count(*) AS n_values FROM r, json_tree(r.j) AS t WHERE t.type NOT IN ('OBJECT', 'NULL') AND NOT contains(t.fullkey, '[') GROUP BY 1)
+    SELECT file_name, count(*) AS records, coalesce(any_value(n_values), 0)::BIGINT AS n_values FROM r LEFT JOIN v USING (file_name) GROUP BY 1""",
+)
+def p6_kept_values(lines):
+    return schema_drift.kept_values(lines, ("eval", "report"))
+
+
 # ---- score log
 
 _SUMMARY = """count(*) AS n, round(coalesce(avg(CASE WHEN error_flag IS NOT NULL THEN 1.0 ELSE 0.0 END), 0.0), 6) AS error_rate,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelode.functions import text as T
 from tracelode.operators.datasets import contains_secret, ratio_split
 
 EXAMPLE = (
@@ -122,9 +123,21 @@ def read_candidates(spark: SparkSession, folder: str, status: str | None = None)
 
 
 def read_skills(spark: SparkSession, folder: str, least: int = 0, most: int = 2**31 - 1) -> DataFrame:
-    """Markdown skill files within a band of sizes, in path order by name."""
+    """(path, text) of the Markdown skill files within a band of sizes in characters, in path order.
+
+    Files of fewer bytes than ``least``, or more than four times ``most``, are not read at all.
+    """
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(F.length("text").between(least, most))
+    rows = rows.filter(F.col("_metadata.file_size").between(least, 4 * most))
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(F.length("text").between(least, most)).orderBy("path")
+
+
+def find_skill(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """(path, text) of the skills of that name: the folder's or file's, else the ``name:`` of the front matter."""
+    skills = read_skills(spark, folder)
+    parts = F.split("path", "/")
+    at_path = F.lit(name).isin(F.element_at(parts, -2), F.regexp_replace(F.element_at(parts, -1), r"\.md$", ""))
+    return skills.filter(at_path | (T.front_matter_field(F.col("text"), "name") == name)).orderBy(~at_path, "path")
 
 
 def source_counts(rows: DataFrame, sources: list[str]) -> DataFrame:
