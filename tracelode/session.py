@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,15 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset on one machine.
+
+    On a cluster without that setting this raises, for executors would each write to their own disk.
+    """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def own_dir(spark: SparkSession, kind: str) -> str:
+    """This application's part of the shared folder, for ``tables`` or ``files``."""
+    return f"{shared_dir(spark)}/tracelode/{spark.sparkContext.applicationId}/{kind}"
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it back.
 
@@ -28,15 +39,16 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     columnar and compressed, so later stages read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelode/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{own_dir(spark, 'tables')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that materialise() wrote; call it when no DataFrame built on them is needed any more."""
+    """Delete the tables that materialise() wrote in this application; call it when no DataFrame built on them is
+    needed any more. Tables of other applications and files shipped to executors stay."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_dir(spark)}/tracelode")
+    path = hadoop.Path(own_dir(spark, "tables"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -62,7 +74,7 @@ _shipped: set[str] = set()
 
 def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
     """Write a small file into the shared folder, whatever its file system; returns its address."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracelode/{name}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{own_dir(spark, 'files')}/{name}")
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
     out.write(bytearray(data))
     out.close()
