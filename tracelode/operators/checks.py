@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
 from tracelode.operators import similarity as S
+from tracelode.operators.ordering import equal_ranges
 from tracelode.session import materialise
 
+#: Ranges that a column is cut into to rank its values.
+RANGES = 10_000
+
 
 def failed_checks(checks: dict[str, Column]) -> Column:
     """Names of the checks that do not hold (null counts as failed), in order."""
@@ -90,8 +94,8 @@ def description_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def ordered_halves(rows: DataFrame, order: str) -> DataFrame:
     """Order-preserving split: half train, half of the rest val, the rest holdout. The rank comes from ranges of
-    the order column: sizes of ranges first, then places within a range."""
-    r = rows.withColumn("range", F.floor(F.col(order) / 1000))
+    the order column (numeric): sizes of up to RANGES equal ranges first, then places within a range."""
+    r = rows.select(order).withColumn("range", equal_ranges(rows, order, RANGES))
     sizes = r.groupBy("range").agg(F.count(F.lit(1)).alias("k"))
     before = F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("range", before.alias("before"), F.sum("k").over(Window.partitionBy(F.lit(0))).alias("n"))

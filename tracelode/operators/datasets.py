@@ -24,7 +24,7 @@ TASK_KINDS = {
     "investigation": ("investigate", "research", "find evidence", "look for", "search"), "delegation": ("delegate", "spawn", "dispatch", "send to", "assign to"),
     "creation": ("write", "create", "make", "draft", "compose", "save to"), "analysis": ("analyze", "review", "synthesize", "reflect", "assess", "evaluate"),
     "orchestration": ("orchestrate", "coordinate", "manage", "schedule", "plan"), "feedback": ("feedback", "calibrate", "adjust", "correct", "improve"),
-    "memory": ("remember", "store", "recall", "triple", "forget"),
+    "memory": ("remember", "store", "recall", "mnemosyne", "triple", "forget"),
 }
 
 

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
+from tracelode.operators.ordering import running_sums
 
 
 def version_pairs(documents: DataFrame, name: str = "skill_name") -> DataFrame:
     """Each text with the one before it of the same name, by time, then id: (doc_id, name, baseline, evolved).
 
-    The window orders ids only; the texts are joined afterwards, so a name with very many versions sorts
-    numbers, not texts.
+    Only ids are ordered, hour by hour of each name, so that a name with very many versions is no hot spot; the
+    texts are joined afterwards.
     """
     named = documents.filter(F.col(name).isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy(name).orderBy("written_at", "doc_id")
-    ids = named.select("doc_id", F.col(name).alias("name"), F.lag("doc_id").over(order).alias("before")).filter("before is not null")
+    versions = named.select("doc_id", F.col(name).alias("name"), "written_at")
+    hour = F.floor(F.unix_seconds(F.col("written_at").cast("timestamp")) / 3600)
+    ids = running_sums(versions, ["name"], hour, ["written_at", "doc_id"], lags={"before": F.col("doc_id")}).filter("before is not null").select("doc_id", "name", "before")
     old = named.select(F.col("doc_id").alias("before"), F.col("text").alias("baseline"))
     return ids.join(old, "before").join(named.select("doc_id", F.col("text").alias("evolved")), "doc_id").select("doc_id", "name", "baseline", "evolved")
 

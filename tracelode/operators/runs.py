@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.ordering import equal_ranges
 from tracelode.operators.scorelog import rounded
 
 #: An improvement that marks a manual override, not a result.
 OVERRIDE = 999.0
+#: Ranges of x that a skyline is cut into.
+RANGES = 10_000
 
 
 def distinct_runs(runs: DataFrame) -> DataFrame:
@@ -124,11 +127,17 @@ def first_small_gain(fits: DataFrame, least: float = 0.005) -> DataFrame:
 def skyline(points: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that no other row beats in both x and y (higher is better); of equal rows all stay.
 
-    By x the best y per x is kept and compared with the best y of all larger x: one window over distinct x.
+    By x the best y per x is kept and compared with the best y of all larger x. The span of x is cut into RANGES
+    equal ranges: the best y of the ranges ahead is found over one row per range, and only the rows of one range
+    that reach it are windowed together. Rows of a range that another range beats are gone before any window.
     """
     best = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias(y))
-    ahead = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
-    keep = best.withColumn("top", F.max(y).over(ahead)).filter(F.col("top").isNull() | (F.col(y) > F.col("top"))).drop("top")
+    ranged = best.withColumn("__range", equal_ranges(best, x, RANGES))
+    ahead = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    later = ranged.groupBy("__range").agg(F.max(y).alias("__best")).withColumn("__later", F.max("__best").over(ahead)).drop("__best")
+    inner = Window.partitionBy("__range").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = ranged.join(later, "__range").filter(F.col("__later").isNull() | (F.col(y) > F.col("__later")))
+    keep = open_.withColumn("__top", F.max(y).over(inner)).filter(F.col("__top").isNull() | (F.col(y) > F.col("__top"))).select(x, y)
     return points.join(keep, [x, y], "left_semi")
 
 
