@@ -24,6 +24,19 @@ def test_defects(spark):
     assert got == {"e1": "empty", **{f"b{i}": "broken" for i in range(1, 7)}, "m1": "missing_reply", "m2": "missing_reply"}
 
 
+def test_ordinals_with_the_sums_of_a_sound_session(spark):
+    who = ["user", "assistant"] * 4
+    rows = [("s", o, w, f"x{i}", None, None) for i, (o, w) in enumerate(zip((0, 0, 3, 4, 4, 5, 5, 7), who))]
+    assert [r.defect for r in C.left_out(table(spark, rows)).collect()] == ["broken"]
+    assert C.conversations(table(spark, rows)).count() == 0
+
+
+def test_rows_without_a_place_are_ordered_by_arrival(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 3)
+    rows = [("s", None, w, f"x{i}", None, None) for i, w in enumerate(["user", "assistant"] * 5)]
+    assert [r.content for r in C.conversations(table(spark, rows)).orderBy("turn").collect()] == [f"x{i}" for i in range(10)]
+
+
 def test_conversations(spark):
     got = sorted((r.session_id, r.turn, r.speaker, r.content) for r in C.conversations(table(spark, GOOD + TOOLS + TIMED + BAD)).collect())
     assert got == [
@@ -41,9 +54,9 @@ def test_long_session_crosses_chunks(spark, monkeypatch):
 
 
 def test_edits_and_deletes(spark):
-    rows = [(1, "s", 0, "user", "q", "create"), (2, "s", 1, "assistant", "draft", None), (3, "s", 1, "assistant", "final", "edit"), (4, "s", 2, "user", "oops", "create"), (5, "s", 2, "user", None, "delete")]
+    rows = [(1, "s", 0, "user", "q", "create"), (2, "s", 1, "assistant", "draft", None), (3, "s", 1, "assistant", "final", "edit"), (4, "s", 2, "user", "oops", "create"), (5, "s", 2, "user", None, "delete"), (6, "s", 3, "user", "p", None), (7, "s", 4, "assistant", "bad", None), (8, "s", 4, "assistant", "good", "retry")]
     df = spark.createDataFrame([(i, s, o, r, c, None, None, e) for i, s, o, r, c, e in rows], "message_id bigint, session_id string, ordinal int, role string, content string, tool_calls array<string>, timestamp string, event string")
-    assert [(r.turn, r.content) for r in C.conversations(df).orderBy("turn").collect()] == [(1, "q"), (2, "final")]
+    assert [(r.turn, r.content) for r in C.conversations(df).orderBy("turn").collect()] == [(1, "q"), (2, "final"), (3, "p"), (4, "good")]
 
 
 def test_empty_and_null_session(spark):

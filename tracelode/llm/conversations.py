@@ -53,8 +53,8 @@ def fold(rows: DataFrame) -> DataFrame:
 
     rows: message_id (order of arrival), session_id, ordinal, role, content, tool_calls, timestamp, and perhaps
     ``event`` (create, edit, delete, retry; null is create). Rows equal in session, place, role and content are
-    one create delivered again and count once, under the first id. An edit replaces what stands at its place, a
-    delete removes it. Sessions are compared without case and outer blanks; a null session is ''.
+    one create delivered again and count once, under the first id. An edit or retry replaces what stands at its place,
+    a delete leaves a place without a message (as a session_meta row is). Sessions are compared without case and outer blanks; a null session is ''.
     """
     session = F.lower(F.regexp_replace(F.coalesce("session_id", F.lit("")), f"^{BLANK}+|{BLANK}+$", ""))
     given = rows.withColumn("__ts", F.col("timestamp"))
@@ -65,8 +65,10 @@ def fold(rows: DataFrame) -> DataFrame:
     )
     if "event" in rows.columns:
         of = Window.partitionBy("session_key", "place")
-        last_change = F.max(F.when(F.col("event").isin("edit", "delete"), F.struct("message_id", "event"))).over(of)
-        kept = kept.withColumn("last", last_change).filter(F.col("last").isNull() | (F.col("message_id") > F.col("last.message_id")) | ((F.col("last.event") == "edit") & (F.col("message_id") == F.col("last.message_id")))).drop("last")
+        last_change = F.max(F.when(F.col("event").isin("edit", "retry", "delete"), F.struct("message_id", "event"))).over(of)
+        kept = kept.withColumn("last", last_change).filter(F.col("last").isNull() | (F.col("message_id") >= F.col("last.message_id"))).drop("last")
+        gone = F.col("event") == "delete"
+        kept = kept.withColumns({c: F.when(gone, F.lit(META if c != "content" else None)).otherwise(F.col(c)) for c in ("role", "speaker", "content")})
     # max: the copy with tool calls counts where a retry lost them
     first = F.min(F.struct("message_id", "session_id", "ordinal", "at", "role")).alias("f")
     by = [F.col("session_key"), F.col("place"), F.col("ordinal").isNull().alias("no_ordinal"), F.coalesce(F.col("speaker"), role_key(F.col("role")), F.lit("")).alias("as_role"), F.col("speaker"), F.col("content")]
@@ -80,11 +82,14 @@ def has_text(content: Column) -> Column:
 
 def _ordered(messages: DataFrame) -> DataFrame:
     """Adds ``turn`` (1, 2, ... over the session's messages; a session_meta row is none) and ``users`` (user
-    messages up to and with this one)."""
+    messages up to and with this one), and ``ordinal_before``, the row's before it. Rows without a place come first,
+    by arrival."""
     size = F.when(F.col("ordinal").isNotNull(), F.lit(CHUNK)).otherwise(F.lit(CHUNK * 1_000_000))
     who = F.coalesce("speaker", F.lit(""))
     sums = {"turn": (who != META).cast("bigint"), "users": (who == "user").cast("bigint")}
-    return running_sums(messages, ["session_key"], F.floor(F.col("place") / size), [F.col("place").asc_nulls_first(), F.col("message_id")], sums)
+    unplaced = F.floor(F.coalesce("message_id", F.lit(0)) / CHUNK) - F.lit(1 << 61)
+    chunk = F.when(F.col("place").isNull(), unplaced).otherwise(F.floor(F.col("place") / size))
+    return running_sums(messages, ["session_key"], chunk, ["place", "message_id"], sums, {"ordinal_before": F.col("ordinal")})
 
 
 def session_defects(ordered: DataFrame) -> DataFrame:
@@ -100,20 +105,19 @@ def session_defects(ordered: DataFrame) -> DataFrame:
     calls = (who == "assistant") & (F.coalesce(F.size("tool_calls"), F.lit(0)) > 0)
     segments = ordered.groupBy("session_key", "users").agg(
         F.min("session_id").alias("session_id"), F.count(F.lit(1)).alias("k"), F.count("ordinal").alias("numbered"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"),
-        F.sum("ordinal").alias("total"), F.sum(F.col("ordinal").cast("decimal(38, 0)") * F.col("ordinal")).alias("squares"),
+        F.max((F.col("ordinal") == F.col("ordinal_before")).cast("int")).alias("again"),
         F.max((who.isin("user", "assistant") & text).cast("int")).alias("said"), F.max(F.col("speaker").isNull().cast("int")).alias("nobody"),
         F.max((who == "assistant").cast("int")).alias("assistant"), F.max(((who == "assistant") & text).cast("int")).alias("replied"),
         F.min(F.when(calls, F.col("turn"))).alias("first_call"), F.min(F.when(who == "tool", F.col("turn"))).alias("first_tool"),
     )
     tool_alone = F.col("first_tool").isNotNull() & (F.col("first_call").isNull() | (F.col("first_call") > F.col("first_tool")))
     sessions = segments.groupBy("session_key").agg(
-        F.min("session_id").alias("session_id"), F.sum("k").alias("k"), F.sum("numbered").alias("numbered"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
+        F.min("session_id").alias("session_id"), F.sum("k").alias("k"), F.sum("numbered").alias("numbered"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("again").alias("again"),
         F.max("said").alias("said"), F.max("nobody").alias("nobody"), F.max(F.when(F.col("users") == 0, F.col("assistant"))).alias("too_early"), F.max(tool_alone.cast("int")).alias("tool_alone"),
         F.max(((F.col("users") > 0) & (F.col("replied") == 0)).cast("int")).alias("no_reply"),
     )
-    # k ordinals within 0 .. k - 1 with the sums of 0 .. k - 1: for the sum of squares each must occur (once)
-    k = F.col("k").cast("decimal(38, 0)")
-    in_order = (F.col("numbered") == F.col("k")) & (F.col("lo") == 0) & (F.col("hi") == F.col("k") - 1) & (F.col("total") * 2 == k * (k - 1)) & (F.col("squares") * 6 == k * (k - 1) * (2 * k - 1))
+    # k ordinals within 0 .. k - 1, none of them twice (equal ones are neighbours in a session that has them all)
+    in_order = (F.col("numbered") == F.col("k")) & (F.col("lo") == 0) & (F.col("hi") == F.col("k") - 1) & (F.coalesce("again", F.lit(0)) == 0)
     broken = (F.col("nobody") == 1) | ((F.col("numbered") > 0) & ~F.coalesce(in_order, F.lit(False))) | (F.coalesce("too_early", F.lit(0)) == 1) | (F.col("tool_alone") == 1)
     defect = F.when(F.col("said") == 0, "empty").when(broken, "broken").when(F.col("no_reply") == 1, "missing_reply")
     return sessions.select("session_key", "session_id", defect.alias("defect"))
