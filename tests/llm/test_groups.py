@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelode.llm import group_split
 
@@ -41,9 +42,19 @@ def test_empty(spark):
     assert group_split.assign_splits(df(spark, []), "example_id", {"train": 0.8, "test": 0.2}).count() == 0
 
 
-@pytest.mark.parametrize("last", [500_000, 3])
-def test_components_over_levels(spark, monkeypatch, last):
+def test_a_hub_is_spread_and_reduced_where_it_lies(spark, monkeypatch):
+    monkeypatch.setattr(group_split, "LAST_EDGES", 1000)
+    edges = spark.createDataFrame([(5, k) for k in range(10, 20_010)] + [(-k, -k - 1) for k in range(1, 20_000, 3)], "u bigint, v bigint").repartition(8)
+    rows = group_split.spread(edges, 80).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert rows < 3 * edges.count() / 80
+    got = {r.node: r.root for r in group_split.components(edges).collect()}
+    assert all(got[k] == 5 for k in range(10, 20_010)) and all(got[-k] == -k - 1 for k in range(1, 20_000, 3)) and len(got) == 20_001 + 2 * 6667
+
+
+@pytest.mark.parametrize(("last", "nodes"), [(500_000, 1_000_000), (3, 1_000_000), (3, 5)])
+def test_components_over_levels(spark, monkeypatch, last, nodes):
     monkeypatch.setattr(group_split, "LAST_EDGES", last)
+    monkeypatch.setattr(group_split, "FOREST_NODES", nodes)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (None, 5), (300, 301), (301, 300)]
     got = {r.node: r.root for r in group_split.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(4)).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[k] == 100 for k in range(100, 130)) and got[200] == 200 and got[301] == 300

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 
 from tracelode.session import materialise
 
-#: Edges that one task may finish alone (8 MB); more are merged in further distributed levels.
-LAST_EDGES = 500_000
+#: Edges that one task may finish alone; more are merged in further distributed levels.
+LAST_EDGES = 200_000
+#: Nodes that a task's forest holds; a larger one is passed on and begun anew.
+FOREST_NODES = 2 * LAST_EDGES
 #: Groups that are ranked together in one task.
 RANK_ROWS = 200_000
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one task: every node seen with the smallest node of its local tree."""
+    """Union-find over the edges of one task: every node seen with the smallest node of its local tree.
+
+    As edges (node, root) link what the edges did, an overfull forest is emitted and a new one begun.
+    """
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -29,36 +34,47 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def trees() -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.record_batch({"node": pa.array(part, pa.int64()), "root": pa.array([find(x) for x in part], pa.int64())})
+
     for b in batches:
         for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
             a, c = find(u), find(v)
             if a != c:
                 parent[max(a, c)] = min(a, c)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.record_batch({"node": pa.array(part, pa.int64()), "root": pa.array([find(x) for x in part], pa.int64())})
+        if len(parent) > FOREST_NODES:
+            yield from trees()
+            parent.clear()
+    yield from trees()
+
+
+def spread(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges over tasks by both ends, so that those of a hub meet in no task."""
+    return edges.repartition(tasks, "u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the edges (u, v: bigint) with the smallest node of its component.
 
-    Local forests are built per task. Nodes that got different roots in different tasks link those roots; the
-    links are the (smaller) edge list of the next level, until none are left or one task can finish. The levels'
-    pointers are then resolved from the top down. Rows move by node, so a hub's edges spread over all tasks and
-    meet, already reduced to one row per task, only as (hub, root). Self-loops keep a node alone; null ends are
-    dropped.
+    Local forests are built where the edges lie, so what moves is one row per task and node. Their trees are the
+    edges of the next level, again in local forests; nodes that got different roots in different tasks link those
+    roots, and the links are the (smaller) edge list of the level after, until one task can finish. The levels'
+    pointers are then resolved from the top down. Edges are spread by both ends: a hub's edges meet only as one row
+    (hub, root) per task. Self-loops keep a node alone; null ends are dropped.
     """
-    edges = materialise(edges.filter("u is not null and v is not null").distinct(), "edges")
+    found = edges.filter("u is not null and v is not null").select("u", "v").mapInArrow(forest, "node bigint, root bigint")
+    edges = materialise(found.select(F.col("node").alias("u"), F.col("root").alias("v")).distinct(), "edges")
     levels: list[DataFrame] = []
     while True:
         n = edges.count()
-        local = edges.coalesce(1) if n <= LAST_EDGES else edges.repartition(max(2, int(n // LAST_EDGES) * 4), "u")
-        trees = local.mapInArrow(forest, "node bigint, root bigint")
+        local = edges.coalesce(1) if n <= LAST_EDGES else spread(edges, max(2, int(n // LAST_EDGES) * 4))
+        trees = materialise(local.mapInArrow(forest, "node bigint, root bigint"), "forest")
         if n <= LAST_EDGES:
-            result = materialise(trees, "forest")
+            result = trees
             break
-        trees = materialise(trees, "forest")
         least = trees.groupBy("node").agg(F.min("root").alias("root"))
         levels.append(materialise(least, "level"))
         edges = materialise(trees.join(levels[-1].withColumnRenamed("root", "v"), "node").select(F.col("root").alias("u"), "v").filter("u <> v").distinct(), "edges")
