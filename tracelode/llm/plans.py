@@ -98,9 +98,13 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_extent(_table(spark, sf_dir, "documents"), "doc_id", "text", SPAN).withColumnRenamed("id", "doc_id")
 
 
+def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.doubled_lengths(_table(spark, sf_dir, "documents"), "doc_id", "text", SPAN).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_judges, p2_agreement, p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_judges, p2_agreement, p3_found, p3_report, p4_found, p4_classes, p5_found, p5_splits, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_shared, p10_lengths)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_agreement": sql.P2_AGREEMENT, "p5_found": sql.P5_FOUND, "p7_found": sql.p7_found(conversations.SPEAKERS), "p10_found": sql.P10_FOUND, "p10_shared": sql.P10_SHARED}
+    return {"p2_agreement": sql.P2_AGREEMENT, "p5_found": sql.P5_FOUND, "p7_found": sql.p7_found(conversations.SPEAKERS), "p10_found": sql.P10_FOUND, "p10_shared": sql.P10_SHARED, "p10_lengths": sql.P10_LENGTHS}

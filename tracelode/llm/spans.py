@@ -2,8 +2,8 @@
 
 Windows of w code points are repeated if they stand in two different texts. A span of at least ``span`` code
 points holds only repeated windows, so a level keeps the places around its repeated windows and the next level,
-at twice the length, looks at those places alone; the last level looks at every window of ``span`` code points
-that is left. The lengths are span/4, span/2, 3/4 span and span.
+at twice the length, looks at those places alone: span/4, span/2, and span, where every window that is left is
+looked at. Beyond it (``doubled_lengths``) windows are doubled on until none is left.
 
 Below the last level not every window is compared: of every ``span - w + 1`` successive windows the one of the
 smallest hash is chosen. That many windows lie in any span, whichever text it stands in, so equal spans choose
@@ -120,13 +120,16 @@ def _first_level(texts: DataFrame, w: int, span: int) -> DataFrame:
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """Windows whose hash stands in two different nodes."""
-    w = Window.partitionBy("hash")
-    id_ = F.struct("node", "len")
-    return windows.withColumn("lo", F.min(id_).over(w)).withColumn("hi", F.max(id_).over(w)).filter("lo <> hi").drop("lo", "hi")
+    """Windows whose hash stands in two different nodes.
+
+    windows: materialised. The least and greatest node per hash are partial aggregates, so a window that a large part
+    of all texts holds moves as a few rows per task; the semi-join that follows is split by AQE where it is skewed.
+    """
+    met = windows.groupBy("hash").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("hash")
+    return windows.join(met, "hash", "left_semi")
 
 
-def _regions(windows: DataFrame, w: int, span: int) -> DataFrame:
+def _regions(windows: DataFrame) -> DataFrame:
     """(node, len, regions): where a span around the repeated windows may lie, as the sorted starts of the windows.
 
     One row per node; a row's size is bounded by its text's.
@@ -168,31 +171,56 @@ def nodes_of(documents: DataFrame, id_col: str, text_col: str, span: int) -> Dat
     return rows.filter(F.col("id").isNotNull() & (F.length("text") >= span)).select("id", F.xxhash64("text").alias("node"), F.length("text").alias("len"), "text")
 
 
-def repeated_spans(nodes: DataFrame, span: int) -> DataFrame:
-    """(hash, node, len, pos): every window of ``span`` code points that stands in two different texts."""
-    levels = [max(1, span // 4), max(1, span // 2), max(1, span * 3 // 4), span]
+def span_windows(nodes: DataFrame, span: int) -> DataFrame:
+    """(hash, node, len, pos): every window of ``span`` code points that may stand in two different texts: those around
+    the repeated windows of a quarter and a half of the length."""
+    levels = [max(1, span // 4), max(1, span // 2), span]
     # the doubling's candidate texts are carried along, so that the corpus is read once more at most
-    found = materialise(_regions(_repeated(_first_level(nodes, levels[0], span)), levels[0], span), "regions")
+    windows = materialise(_first_level(nodes, levels[0], span), "windows")
+    found = materialise(_regions(_repeated(windows)), "regions")
     kept = materialise(found.join(nodes.select("node", "len", "text"), ["node", "len"]).dropDuplicates(["node", "len"]), "kept")
-    for before, w in zip(levels, levels[1:]):
-        windows = _repeated(_next_level(kept.select("node", "len", "text", "at"), before, w, span))
-        if w < span:
-            found = _regions(windows, w, span)
-            kept = materialise(kept.drop("at").join(found, ["node", "len"]), "kept")
-    return windows
+    windows = materialise(_next_level(kept, levels[0], levels[1], span), "windows")
+    kept = kept.drop("at").join(_regions(_repeated(windows)), ["node", "len"])
+    return materialise(_next_level(kept, levels[1], levels[2], span), "windows")
+
+
+def longer_windows(spans: DataFrame, w: int) -> DataFrame:
+    """The repeated windows of twice the length w of the given repeated ones: a window and the next one behind it,
+    under one hash. No text is read again."""
+    behind = spans.select("node", "len", (F.col("pos") - w).alias("pos"), F.col("hash").alias("behind"))
+    twice = spans.join(behind, ["node", "len", "pos"]).select(F.xxhash64("hash", "behind").alias("hash"), "node", "len", "pos")
+    return _repeated(materialise(twice, "windows"))
 
 
-def span_node_pairs(spans: DataFrame) -> DataFrame:
+def doubled_lengths(documents: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
+    """(id, at_least): for every record that shares a passage of ``span`` code points with a different text the greatest
+    of span, 2 span, 4 span, ... at which it still does. Windows are doubled until none is left.
+
+    Null, empty and shorter texts, and those whose long passages stand only in copies of them, give no row.
+    """
+    nodes = nodes_of(documents, id_col, text_col, span)
+    spans, length, out = materialise(_repeated(span_windows(nodes, span)), "spans"), span, None
+    while True:
+        level = spans.select("node", "len").distinct().withColumn("at_least", F.lit(length))
+        out = level if out is None else out.unionByName(level)
+        spans = materialise(longer_windows(spans, length), "spans")
+        length *= 2
+        if spans.isEmpty():
+            break
+    most = out.groupBy("node", "len").agg(F.max("at_least").alias("at_least"))
+    return nodes.select("id", "node", "len").join(most, ["node", "len"]).select("id", "at_least")
+
+
+def span_node_pairs(windows: DataFrame) -> DataFrame:
     """Pairs of nodes (node_a, len_a, node_b, len_b) that share a window, each once.
 
     Successive windows of one passage stand in the same set of texts. The sets are told apart by an order-free
-    fingerprint and each is paired once, not once per window.
+    fingerprint, made with the least and greatest node in one partial aggregation, and each is paired once.
     """
-    spans = materialise(spans.select("hash", "node", "len").distinct(), "spans")
     mark = F.sum(F.xxhash64("node", "len") % F.lit(1 << 52)), F.bit_xor(F.xxhash64("len", "node"))
-    sets = spans.groupBy("hash").agg(mark[0].alias("s"), mark[1].alias("x"), F.count(F.lit(1)).alias("k"))
-    once = sets.groupBy("s", "x", "k").agg(F.min("hash").alias("hash")).select("hash")
-    few = spans.join(once, "hash", "left_semi")
+    sets = windows.groupBy("hash").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), mark[0].alias("s"), mark[1].alias("x"), F.count(F.lit(1)).alias("k"))
+    once = sets.filter("lo <> hi").groupBy("s", "x", "k").agg(F.min("hash").alias("hash")).select("hash")
+    few = materialise(windows.join(once, "hash", "left_semi").select("hash", "node", "len").distinct(), "sets")
     a, b = (few.select("hash", F.col("node").alias(f"node_{x}"), F.col("len").alias(f"len_{x}")) for x in "ab")
     return a.join(b, "hash").filter("(node_a, len_a) < (node_b, len_b)").select("node_a", "len_a", "node_b", "len_b").distinct()
 
@@ -203,7 +231,7 @@ def shared_span_pairs(documents: DataFrame, id_col: str, text_col: str, span: in
     Exact; equal texts of that length are pairs too. Null, empty and shorter texts are in no pair.
     """
     nodes = nodes_of(documents, id_col, text_col, span)
-    pairs = span_node_pairs(repeated_spans(nodes, span))
+    pairs = span_node_pairs(span_windows(nodes, span))
     members = nodes.select("id", "node", "len")
     a, b = (members.select(F.col("id").alias(f"x_{x}"), F.col("node").alias(f"node_{x}"), F.col("len").alias(f"len_{x}")) for x in "ab")
     across = pairs.join(a, ["node_a", "len_a"]).join(b, ["node_b", "len_b"]).select(F.least("x_a", "x_b").alias("id_a"), F.greatest("x_a", "x_b").alias("id_b"))
@@ -220,7 +248,7 @@ def shared_extent(documents: DataFrame, id_col: str, text_col: str, span: int) -
     too; a text that another record repeats whole is shared whole if it is long enough. Null texts have 0 of 0.
     """
     nodes = nodes_of(documents, id_col, text_col, span)
-    spans = repeated_spans(nodes, span)
+    spans = _repeated(span_windows(nodes, span))
     lo = Window.partitionBy("node", "len").orderBy("pos")
     gain = F.least(F.lit(span), F.col("pos") - F.coalesce(F.lag("pos").over(lo), F.lit(-span)))
     extent = spans.select("node", "len", "pos").distinct().withColumn("gain", gain).groupBy("node", "len").agg(F.sum("gain").alias("part"))

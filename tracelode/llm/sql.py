@@ -48,3 +48,8 @@ _WINDOWS = """WITH w AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM
 P10_FOUND = f"{_WINDOWS}, d AS (SELECT DISTINCT h, doc_id FROM s) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id"
 P10_SHARED = f"""{_WINDOWS}, g AS (SELECT doc_id, sum(least(300, i - coalesce(p, -300))) AS c FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM (SELECT DISTINCT doc_id, i FROM s)) GROUP BY 1)
     SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE / length(text) END AS shared_fraction FROM documents LEFT JOIN g USING (doc_id)"""
+P10_LENGTHS = """WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300), z AS (SELECT max(n) AS n FROM t),
+    l(w) AS (SELECT 300 UNION ALL SELECT 2 * w FROM l, z WHERE 2 * w <= n),
+    x AS (SELECT doc_id, text, w, unnest(range(1, n - w + 2)) AS i FROM t JOIN l ON n >= w), h AS (SELECT doc_id, w, hash(substr(text, i, w)) AS h, hash(text) AS whole FROM x),
+    m AS (SELECT w, h FROM h GROUP BY 1, 2 HAVING count(DISTINCT whole) > 1)
+    SELECT doc_id, max(w)::INTEGER AS at_least FROM h JOIN m USING (w, h) GROUP BY 1"""
