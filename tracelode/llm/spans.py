@@ -215,11 +215,14 @@ def span_node_pairs(windows: DataFrame) -> DataFrame:
     """Pairs of nodes (node_a, len_a, node_b, len_b) that share a window, each once.
 
     Successive windows of one passage stand in the same set of texts. The sets are told apart by an order-free
-    fingerprint, made with the least and greatest node in one partial aggregation, and each is paired once.
+    fingerprint, summed up in one partial aggregation, and each is paired once. A set of one text has the fingerprint
+    of its greatest node alone. Sums are of 31 bits, so that no number of texts overflows.
     """
-    mark = F.sum(F.xxhash64("node", "len") % F.lit(1 << 52)), F.bit_xor(F.xxhash64("len", "node"))
-    sets = windows.groupBy("hash").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), mark[0].alias("s"), mark[1].alias("x"), F.count(F.lit(1)).alias("k"))
-    once = sets.filter("lo <> hi").groupBy("s", "x", "k").agg(F.min("hash").alias("hash")).select("hash")
+    mark, also = F.pmod(F.xxhash64("node"), F.lit(1 << 31)), F.xxhash64("node", F.lit(1))
+    sets = windows.groupBy("hash").agg(F.max("node").alias("hi"), F.sum(mark).alias("s"), F.bit_xor(also).alias("x"), F.count(F.lit(1)).alias("k"))
+    top = F.pmod(F.xxhash64("hi"), F.lit(1 << 31))
+    alone = (F.col("s") == F.col("k") * top) & (F.col("x") == F.when(F.col("k") % 2 == 1, F.xxhash64("hi", F.lit(1))).otherwise(0))
+    once = sets.filter(~alone).groupBy("hi", "s", "x", "k").agg(F.min("hash").alias("hash")).select("hash")
     few = materialise(windows.join(once, "hash", "left_semi").select("hash", "node", "len").distinct(), "sets")
     a, b = (few.select("hash", F.col("node").alias(f"node_{x}"), F.col("len").alias(f"len_{x}")) for x in "ab")
     return a.join(b, "hash").filter("(node_a, len_a) < (node_b, len_b)").select("node_a", "len_a", "node_b", "len_b").distinct()
