@@ -5,7 +5,7 @@ from tracelode.llm import pairs
 TASK = "Summarise what changed in the report since May and tell me which of the cards are stale, please."
 LONG = "The report lists three cards that are stale. The other two were changed in May and pass the gate."
 CASES = [
-    (1, TASK, None, "empty"), (2, TASK, " ​ \n", "empty"), (3, TASK, "N/A.", "empty"), (4, TASK, "```\n```", "empty"), (5, None, "TODO", "empty"),
+    (1, TASK, None, "empty"), (2, TASK, " ​ \n", "empty"), (3, TASK, "N/A.", "empty"), (4, TASK, "```\n```", "empty"), (5, None, "TODO", "empty"), (28, TASK, "TODO" + " " * 60, "empty"), (29, TASK, "\u200b" * 61 + "TBD", "empty"),
     (6, TASK, TASK, "copy"), (7, TASK, "Answer:\n" + TASK.upper(), "copy"), (8, TASK, TASK + " " + TASK, "copy"),
     (9, TASK, "I'm sorry, but I can't help with that. Thank you for understanding.", "refusal"), (10, TASK, TASK + "\nRequest denied: cards of this sort are off limits for me.", "refusal"),
     (11, TASK, "Diese Anfrage muss ich ablehnen, den Bericht darf ich nicht herausgeben.", "refusal"),
@@ -45,6 +45,29 @@ def test_who_must_decline():
         assert not pairs.refuses(TASK, answer), answer
 
 
+# Held out: written by hand from the way people decline, none of them taken from a table.
+REFUSALS = """I'm afraid that's a hard no from me.|Apologies, this one is outside my remit.|I can't help you with this.|Sorry, but I am not able to assist with this request.|I won't be doing that.
+I'm not going to write this for you.|We are not permitted to share such records.|My instructions do not allow me to respond to this.|This falls beyond what I am authorised to do.|I would prefer not to take part in this.
+I'd rather not.|I respectfully decline.|I have to say no; I can't comply.|That is not something I can discuss.|Your request is refused.|This is against our policy, so I will stop here.|I am unwilling to continue with this.
+I cannot in good conscience assist you here.|No, I will not do it.|I don't feel comfortable answering that.|There is nothing I can do for you here.|I'm unable to provide an answer to this question.|I do not handle matters like this.
+It is impossible for me to answer.|I was instructed not to talk about this, so I must refuse.|Regrettably I must pass on this one.|I'm sorry, I can't fulfil this.|Such things are forbidden to me.|We cannot offer support on this topic.
+As a matter of principle I decline to answer.|Dabei kann ich dir leider nicht weiterhelfen.|Das werde ich nicht tun.|Ich bin nicht befugt, darüber Auskunft zu geben.|Tut mir leid, das ist mir nicht gestattet.|Ich lehne das ab.
+Das verstößt gegen meine Richtlinien.|Ich weigere mich, das zu erledigen.|Diese Frage beantworte ich nicht.|Je ne peux pas vous aider.|Je suis désolé, mais je ne suis pas autorisé à faire cela.|Je refuse de répondre.
+Cela va contre mes principes.|Il m'est impossible de traiter cette demande.|Je préfère ne pas répondre.|Lo siento, no puedo ayudarte con eso.|No voy a responder a esa pregunta.|Me niego a hacerlo.|No estoy autorizado para compartir eso.
+Eso está fuera de mis normas.|Debo rechazar la solicitud.|No me es posible atenderlo.|Es ist mir nicht möglich, das zu beantworten."""
+ANSWERS = """No cards are stale.|I cannot find any errors in the log.|I could not reproduce it, the run was clean.|The request was denied by the router.|It was tested against our baseline.|Unfortunately no report was written.
+I closed the two tickets and told the owner.|Use the second key; the first does not work.|We ran it again and it passed.|The answer is 42.|I do not see a difference between both files.|My report lists three runs.
+Yes, I can do that: the card is closed now.|Done, I moved it to the archive.|The policy does not allow empty names.|Nothing changed since May.|You may not merge before the review.|No, the cache is never cleared.|We should not merge this yet.
+Ich habe die Karte geschlossen.|Es wurden keine Fehler gefunden.|Der Bericht ist nicht vollständig.|La tarea no está terminada.|No hay errores en el registro.|Le rapport ne contient pas d'erreur.|J'ai fermé la carte et prévenu le gardien.
+He cerrado la tarjeta y el informe.|It should refuse to print the key.|The agent must decline and give no reason."""
+
+
+def test_held_out_refusals():
+    refusals, answers = (x.replace("\n", "|").split("|") for x in (REFUSALS, ANSWERS))
+    assert sum(pairs.refuses(TASK, x) for x in refusals) >= 0.95 * len(refusals)
+    assert not [x for x in answers if pairs.refuses(TASK, x)]
+
+
 def test_list_items_are_judged_by_other_ends(spark):
     whole = "Steps.\n- open the card and close the gate\n- read the log and close the gate\n- close the gate"
     rows = [(i, TASK, whole) for i in range(5)] + [(9, TASK, "Steps.\n- open the card and close the gate\n- read the log and close")]

@@ -1,8 +1,8 @@
 """Broken prompt and response pairs: empty, copying, refusing, wrong-language and truncated responses.
 
 Copies: shingle containment of the response in the prompt, then the longest common subsequence of both token
-sequences. Refusals: every sentence that does not echo the prompt is aligned by longest common subsequence
-against refusal templates. Languages: function words. Truncation: how the last sentence or list item ends, for
+sequences. Refusals: every sentence that does not echo the prompt is aligned against refusal templates, by what
+its words do (who, right, no, act) as a common subsequence without wide gaps. Languages: function words. Truncation: how the last sentence or list item ends, for
 list items against the ends and insides of all list items of the whole input.
 """
 
@@ -25,14 +25,12 @@ from tracelode.session import materialise
 WIDTH = 3
 #: Share of a response's shingles and tokens that the prompt must hold, in order, for a copy.
 COPIED = 0.8
-#: Share of a template's words that a sentence must hold, in order, for a refusal.
-ALIGNED = 0.85
 #: Words of substance beside refusing sentences up to which a response still refuses.
 REST = 6
 #: Words of one language, and times the runner-up, that settle a text's language.
 LANGUAGE_WORDS, LANGUAGE_LEAD = 4, 1.4
 
-# Texts that stand for no answer, once lower-cased and stripped of punctuation.
+# Texts that stand for no answer, once lower-cased and stripped of punctuation.
 PLACEHOLDERS = frozenset(
     (
         "none", "null", "nil", "na", "n a", "n/a", "nan", "undefined", "todo", "tbd", "tba", "fixme", "empty", "blank", "placeholder", "pending", "unknown", "missing",
@@ -43,37 +41,54 @@ PLACEHOLDERS = frozenset(
     )
 )
 
-# Words of a refusal in their order; other words may stand between them.
+# What the words of a refusal do, in English, German, French and Spanish; a word may do several things.
+CLASSES = {
+    "self": "i me my mine we us our myself ich mir mich mein meine meinen meiner meinem wir uns unser unsere unseren je j m moi mon ma mes nous notre nos yo mí mi mis nosotros nuestro nuestra nuestras",
+    "ich": "ich wir",
+    "me": "me us mir uns moi nous mí mich",
+    "no": "not no never nothing none neither nicht kein keine keinen keiner keinem nichts nein niemals ne n pas rien non aucun aucune jamais nunca nada ningún ninguna",
+    "can": "can could may might must shall should would am are be able kann können könnte darf dürfen soll bin peux puis pouvons veux suis sommes dois saurais",
+    "will": "will shall werde werden möchte möchten mag darf dürfen vais veux",
+    "free": "allowed permitted authorized authorised willing comfortable position prepared able liberty lage befugt berechtigt bereit erlaubt gestattet imstande mesure autorisé autorisée disposé habilité permis autorizado autorizada permitido permitida condiciones dispuesto facultado",
+    "act": "help helping assist assisting aid answer answering do doing comply complying provide providing discuss discussing share sharing offer give giving fulfil fulfill fulfilling complete respond responding reply continue continuing proceed support supporting engage handle process write say tell talk take serve carry perform entertain "
+    "helfen weiterhelfen beantworten beantworte antworten antworte erledigen bearbeiten übernehmen unterstützen liefern geben herausgeben tun machen leisten entsprechen nachkommen sagen mitteilen dienen ausführen "
+    "aider répondre réponds fournir traiter faire donner partager discuter dire satisfaire accéder effectuer exécuter accomplir ayudar ayudarte ayudarle ayudarlo responder respondo hacer hacerlo proporcionar compartir dar contestar atender cumplir decir realizar hablar",
+    "decline": "decline declining refuse refusing abstain pass reject object ablehnen ablehne lehne verweigern verweigere passe weigere refuse refuser refusons décline décliner rejeter rechazar declinar negarme abstenerme",
+    "denied": "denied declined refused rejected abgelehnt verweigert refusé refusée rejeté rejetée denegada denegado rechazada rechazado",
+    "request": "request question task ask anfrage bitte aufgabe frage demande requête question tâche solicitud petición pregunta tarea",
+    "sorry": "sorry apologies apologise apologize regret afraid leid entschuldigung bedaure désolé désolée regrette siento lamento perdón",
+    "limit": "against outside beyond limits forbidden prohibited closed barred taboo violates violate breaches breach contrary bounds außerhalb gegen jenseits verboten untersagt gesperrt tabu hors contre interdit interdite fermé fuera contra prohibido prohibida vedado cerrado",
+    "rules": "guidelines guideline policy policies rules rule instructions remit scope mandate limits principles permissions brief richtlinien regeln vorgaben vorschriften anweisungen grundsätze règles directives consignes politique principes normas reglas políticas directrices instrucciones principios",
+    "allow": "allow allows permit permits let lets erlauben gestatten zulassen autorisent permettent permet permiten permite dejan",
+    "rather": "rather prefer preferably lieber préfère préférerais prefiero preferiría",
+    "told": "told instructed ordered directed asked angewiesen instruiert chargé instruido",
+    "avoid": "leave avoid skip refrain withhold meiden auslassen éviter evitar",
+    "from": "from von seitens part parte",
+    "impossible": "impossible unmöglich imposible",
+    "possible": "possible möglich posible",
+    "you": "you your dir dich ihnen dein deine ihre vous votre te ti usted tu",
+}
+#: Words that do several things one after the other.
+SEVERAL = {
+    "cannot": "can no", "unable": "no free", "unwilling": "no free", "puedo": "self can", "podemos": "self can", "debo": "self can", "tengo": "self can", "estoy": "self can", "voy": "self will", "quiero": "self will",
+    "niego": "self decline", "rechazo": "self decline", "declino": "self decline", "prefiero": "self rather", "preferiría": "self rather", "weigere": "decline",
+}
+#: Refusals as what their words do in order: who, by what right, no, which act. Up to GAP other words may stand between.
 TEMPLATES = tuple(
     tuple(x.split())
     for x in (
-        "i am sorry but i cannot", "sorry i cannot", "sorry no", "i am sorry but i am unable", "i cannot help with", "i cannot assist with",
-        "i cannot for you", "i cannot do that", "i cannot comply", "i cannot provide", "i cannot answer", "i cannot fulfil", "i can not help with",
-        "i am unable to", "i am not able to", "i must decline", "i have to decline", "i need to decline", "i decline to", "i respectfully decline",
-        "i refuse to", "i must refuse", "i have to refuse", "i have to pass", "i will not", "i would rather not", "i would prefer not to",
-        "i do not feel comfortable", "i am not comfortable", "i am not allowed to", "i am not permitted to", "request denied", "request is denied",
-        "against my guidelines", "against my policy", "against my policies", "violates my guidelines", "my policies do not allow me",
-        "my guidelines do not allow me", "my instructions do not allow me", "outside what i am permitted to do", "outside what i am allowed to do",
-        "beyond what i am allowed", "as an assistant i am not able", "as an ai i cannot", "as a language model i cannot",
-        "topics i have been told to leave alone", "you will get no from me", "off limits for me", "nothing i may answer", "i may not answer",
-        "something i do not do", "not something i can help with", "not something i am willing to", "stays closed to me", "this is not for me to answer",
-        "i do not discuss", "i do not answer", "i can offer nothing",
-        "ich kann nicht helfen", "dabei kann ich nicht", "das kann ich nicht", "ich muss ablehnen", "anfrage muss ich ablehnen", "ich lehne ab", "darf ich nicht",
-        "ich darf nicht", "bin ich nicht in der lage", "ich bin nicht in der lage", "es tut mir leid aber", "tut mir leid kann ich nicht", "möchte ich nicht", "ich möchte nicht", "ich werde nicht", "nicht erlaubt mir",
-        "je ne peux pas", "je suis désolé mais", "je suis désolée mais", "désolé je ne peux", "je dois refuser", "je refuse de", "je dois décliner", "il m est impossible", "je ne suis pas en mesure",
-        "je ne suis pas autorisé", "je préfère ne pas",
-        "no puedo ayudar", "no puedo ayudarte", "lo siento pero no puedo", "lo siento no puedo", "debo rechazar", "tengo que rechazar", "me niego a", "no me es posible", "no me está permitido",
-        "no estoy autorizado", "no estoy en condiciones", "prefiero no", "no puedo responder",
+        "self can no act", "can self no act", "no self can act", "self no can act", "self no act", "no self act", "self can act no", "act ich no", "self can no you", "self will no", "will self no", "self no will", "no self will",
+        "self no free", "no self free", "no free self", "can self no free", "self decline", "decline self", "self rules no allow", "no allow self rules", "rules no allow me", "limit self rules", "limit me", "limit self free", "rules limit me",
+        "self rather no", "rather self no", "rather no self", "self told avoid", "self told no", "no from me", "no from self", "self impossible", "impossible me", "no me possible", "me no possible", "no possible me",
     )
 )
+GAP = 4
 CLOSING = re.compile(r"^(?:thank|thanks|merci|danke|vielen dank|gracias|please (?:ask|contact|try)|answer|response|antwort|réponse|respuesta|question|task|no|sorry)\b")
-# Wanted behaviour is described, not refused.
+# Wanted behaviour is described, not refused.
 DESCRIBES = re.compile(r"\b(?:should|must (?:refuse|decline|say)|the (?:response|agent|assistant|answer|model|reply) (?:should|must|will|has to)|expected to|soll(?:te)?n?|muss der|doit|devrait|debe(?:ría)?n?)\b", re.I)
 # who must is the one who answers: "I must", "I'm sorry, but must", "I therefore must"
 OWN_MUST = re.compile(r"\b(?:i|we)\b(?:[\s,;’'–—-]+(?:m|am|re|are|sorry|afraid|regret|apologi[sz]e|and|but|so|therefore|thus|hence|however|also|then|still|\w+ly)\b)*[\s,;–—-]+must\b", re.I)
-MAY_REFUSE = re.compile(r"\b(?:i|me|my|ich|mir|je|m|debo|puedo|siento|tengo|niego|prefiero|posible|denied|sorry|unable|decline|désolé|impossible|guidelines|limits)\b", re.I)
-
-# Function words that (nearly) only one of the languages uses.
+# Function words that (nearly) only one of the languages uses.
 FUNCTION_WORDS = {
     "en": "a an in so over all the and of to that with for as was were this from it be before after which more than at has have had when then or by are is on not no under until out its only should never what how does if but every each into",
     "de": "der das und ist nicht mit den dem ein eine einen für auf im von zu sich auch werden wird noch nach bei aus wenn dass oder nur am sind waren bleibt ohne weil obwohl während wie soll erst deshalb bis zum zur kannst danach die in so an",
@@ -83,7 +98,7 @@ FUNCTION_WORDS = {
     "pt": "o os as e uma para com não do da em no na por mais como mas foi ao são quando porque sem está depois a de que um se",
     "nl": "de het een en van is niet met voor op te zijn aan door naar bij uit als dat maar nog worden wordt zonder wanneer omdat in die of",
 }
-# Names of the languages, as a request to answer in one of them would use them.
+# Names of the languages, as a request to answer in one of them would use them.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés ingles inglese", "de": "german deutsch allemand alemán aleman tedesco", "fr": "french französisch français francais francés frances",
     "es": "spanish spanisch espagnol español espanol castellano", "it": "italian italienisch italien italiano", "pt": "portuguese portugiesisch portugais portugués português",
@@ -97,18 +112,23 @@ NAMED = re.compile(r"\S*[/_@#`=]\S*|\b\w+[-.]\w[\w.-]*\b")
 SENTENCE = re.compile(r"(?<=[.!?:。！？])[\"'”’)\]]*\s+|\n+")
 ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])(?:\s+|$)")
 ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]*_`]*$")
-# Words that no answer ends with.
+# Words that no answer ends with.
 OPEN_WORDS = frozenset("the a an of and or because which with from while such than but if le la les des du et ou de que der die das ein eine und oder mit weil dass el los las una un y o con para por cuyo".split())
 DANGLING = re.compile(r"(?:\.\.\.|…|[,;:(\[{\-–—/=&+<>]|\b0\.|/[\w-]+\.|[\"“«‘])$")
 
 
+OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def nothing_said(text: str) -> bool:
     """Nothing but blanks, marks and invisible characters, or a placeholder."""
-    if len(text) > 60 and re.search(r"[^\W_]{2}", text):
-        return False
-    shown = unicodedata.normalize("NFKC", text)
-    bare = re.sub(r"^[\W_]+|[\W_]+$", "", "".join(c for c in shown if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t")).lower()
-    return not bare or (len(bare) <= 40 and re.sub(r"[\s_\-.]+", " ", bare) in PLACEHOLDERS)
+    if text.isascii():
+        bare = text.strip(MARKS)
+    else:
+        shown = unicodedata.normalize("NFKC", text)
+        bare = OUTER.sub("", "".join(c for c in shown if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t"))
+    return not bare or (len(bare) <= 40 and re.sub(r"[\s_\-.]+", " ", bare.lower()) in PLACEHOLDERS)
 
 
 def _languages_of_words() -> dict[str, tuple[str, ...]]:
@@ -162,25 +182,47 @@ def sentence_words(sentence: str) -> list[str]:
     return re.findall(r"[^\W_]+", s)
 
 
-_KINDS = tuple((t, frozenset(t)) for t in TEMPLATES)
+def _classes_of_words() -> dict[str, tuple[frozenset[str], ...]]:
+    of: dict[str, set[str]] = {}
+    for name, words in CLASSES.items():
+        for w in words.split():
+            of.setdefault(w, set()).add(name)
+    return {w: (frozenset(c),) for w, c in of.items()} | {w: tuple(frozenset((c,)) for c in cs.split()) for w, cs in SEVERAL.items()}
+
 
+_CLASSES = _classes_of_words()
 
-def refuses_sentence(words: list[str]) -> bool:
-    have = set(words)
-    for template, kinds in _KINDS:
-        if len(have & kinds) < ALIGNED * len(kinds) or common_length(list(template), words) < ALIGNED * len(template):
+
+def aligned(template: tuple[str, ...], does: list[tuple[int, frozenset[str]]]) -> bool:
+    """Whether the template is a common subsequence whose words stand within its length and GAP others.
+
+    does: (place, classes) of the sentence's words that do anything.
+    """
+    most = len(template) + GAP
+    for i, (at, have) in enumerate(does):
+        if template[0] not in have:
             continue
-        # the words of the template must stand close together, in a sentence's first half or so
-        at = [i for i, w in enumerate(words) if w in kinds]
-        if at[-1] - at[0] <= 3 * len(template) + 6:
-            return True
+        k = 1
+        for place, other in does[i + 1 :]:
+            if place - at >= most:
+                break
+            if template[k] in other:
+                k += 1
+                if k == len(template):
+                    return True
     return False
 
 
+def refuses_sentence(words: list[str]) -> bool:
+    does = [(i, c) for i, w in enumerate(words) for c in _CLASSES.get(w, ())]
+    have = frozenset().union(*(c for _, c in does))
+    if len(words) <= 6 and "was" not in words and aligned(("request", "denied"), does) or len(words) <= 4 and aligned(("sorry", "no"), does):
+        return True
+    return any(have.issuperset(t) and aligned(t, does) for t in TEMPLATES)
+
+
 def refuses(task: str, answer: str) -> bool:
     """Refusing sentences, and next to nothing else that is not from the prompt."""
-    if not MAY_REFUSE.search(answer):
-        return False
     refused, rest, task_tokens = False, 0, set(sentence_words(task))
     for sentence in SENTENCE.split(answer):
         words = sentence_words(sentence)
