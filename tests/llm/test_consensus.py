@@ -51,3 +51,24 @@ def test_empty(spark):
     assert consensus.consensus(log(spark, [])).count() == 0
     assert consensus.judge_reliability(log(spark, [])).count() == 0
     assert consensus.agreement(log(spark, [])).first().alpha is None
+
+
+def test_lenient_harsh_and_inverted_judges_beat_the_majority(spark):
+    rng = np.random.default_rng(11)
+    shapes = {"exact-1": lambda q: q, "exact-2": lambda q: q, "lenient": lambda q: 0.5 + q / 2, "harsh": lambda q: q / 2, "inverted": lambda q: 1 - q, "mild": lambda q: 0.35 + q / 3, "random": None}
+    truth, rows = {}, []
+    for t in range(1500):
+        q = [0.18, 0.52, 0.85][rng.integers(3)]
+        truth[f"t{t}"] = int(q > 0.35) + int(q > 0.7)
+        for j in rng.choice(list(shapes), 5, replace=False):
+            f = shapes[j]
+            rows.append((j, f"t{t}", float(np.clip(rng.random() if f is None else f(q) + rng.normal(0, 0.08), 0, 1))))
+    names = {"low": 0, "mid": 1, "high": 2}
+    got = {r.task_id: names[r.label] for r in consensus.consensus(log(spark, rows)).collect()}
+    ours = np.mean([got[t] == k for t, k in truth.items()])
+    votes = {t: np.zeros(3) for t in truth}
+    for _, t, s in rows:
+        votes[t][int(s >= 0.35) + int(s >= 0.7)] += 1
+    majority = np.mean([int(v.argmax()) == truth[t] for t, v in votes.items()])
+    print(f"right: by accuracy per band {ours:.3f}, by majority {majority:.3f}")
+    assert ours > 0.95 and ours > majority + 0.15

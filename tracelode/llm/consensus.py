@@ -1,19 +1,19 @@
 """Consensus from several annotators' scores, by iteratively reweighted voting.
 
-Every rating votes for all labels at once, with the weight that its annotator's score band has earned: the
-logarithm of how much more often the annotator uses the band where that label holds than elsewhere. So a
-reliable annotator's votes weigh much, a random one's nothing, a lenient one's are shifted and an inverted one's
-count for the opposite.
-
-Weights and consensus alternate until stable. The label that a rating is held against leaves the rating's own
-vote out, and all counts are smoothed, so that annotators with few ratings neither confirm themselves nor get
-extreme weights. Agreement is Krippendorff's alpha, which corrects for chance and takes tasks with any number of
+An annotator's accuracy is kept per band of their scores and label: the smoothed share of their ratings in the band
+whose task is, by the consensus of the other annotators, of that label. A rating votes for every label with the
+logarithm of that accuracy over the label's share of all ratings. So a reliable annotator's votes weigh much, a random
+one's nothing, a lenient one's are shifted and an inverted one's count for the opposite.
+
+Accuracy and weighted consensus alternate until stable. The consensus that a rating is held against leaves the
+rating's own vote out, and accuracy is smoothed towards the labels' shares, so that annotators with few ratings neither
+confirm themselves nor get extreme weights. Agreement is Krippendorff's alpha, which corrects for chance and takes tasks with any number of
 ratings.
 """
 
 from __future__ import annotations
 
-import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +24,9 @@ LABELS = ("low", "mid", "high")
 CUTS = (0.35, 0.70)
 #: Score bands of one width that tell how an annotator uses the scale.
 BANDS = 20
-#: Added to each count of a band.
-SMOOTH = 1.0
-MOST_ROUNDS, STABLE = 25, 1e-3
+#: Ratings by which a band's accuracy is smoothed.
+SMOOTH = 2.0
+MOST_ROUNDS, STABLE = 50, 1e-3
 LEAST_JUDGES = 3
 
 
@@ -63,40 +63,38 @@ def _posterior(parts: list) -> list:
 
 
 def fit(rated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(weights, prior-weighted task votes): the stable weights (judge, band, w0, w1, w2) and (task_id, v0, v1, v2).
+    """(weights, votes): the stable weights (judge, band, w0, w1, w2) and each task's votes (task_id, v0, v1, v2).
 
     rated: materialised ratings. Each round joins the ratings with the small weight table, adds them up per task
     (partial sums first, so a task with very many ratings is no hot spot) and counts the outcome per judge and
-    band.
+    band, which is written; the driver sees the largest change of an accuracy. Warns if MOST_ROUNDS did not suffice.
     """
     counts = [F.sum((F.col("label") == k).cast("double")).alias(f"v{k}") for k in range(3)]
-    votes, weights, prior = rated.groupBy("task_id").agg(*counts), None, None
-    for turn in range(MOST_ROUNDS):
+    votes, weights = rated.groupBy("task_id").agg(*counts), None
+    for _ in range(MOST_ROUNDS):
         if weights is None:  # first round: the plain counts of the others' labels
-            own = [(F.col("label") == k).cast("double") for k in range(3)]
-            left = [F.col(f"v{k}") - own[k] for k in range(3)]
+            left = [F.col(f"v{k}") - (F.col("label") == k).cast("double") for k in range(3)]
             total = left[0] + left[1] + left[2]
             post = [F.when(total > 0, x / total).otherwise(1 / 3) for x in left]
             held = rated.join(votes, "task_id")
         else:
             post = _posterior([F.col(f"v{k}") - F.col(f"w{k}") for k in range(3)])
             held = rated.join(weights, ["judge", "band"]).join(votes, "task_id")
-        table = held.groupBy("judge", "band").agg(*(F.sum(post[k]).alias(f"n{k}") for k in range(3)))
-        table = materialise(table, "bands")
-        sums = table.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(3))).first()
-        everything = sum(sums) or 1.0
-        prior = [max(x / everything, 1e-6) for x in sums]
-        of = Window.partitionBy("judge")
-        new = [F.log((F.col(f"n{k}") + SMOOTH) / (F.sum(f"n{k}").over(of) + SMOOTH * BANDS)).alias(f"w{k}") for k in range(3)]
-        fresh = materialise(table.select("judge", "band", *new), "weights")
+        table = materialise(held.groupBy("judge", "band").agg(*(F.sum(post[k]).alias(f"n{k}") for k in range(3))), "accuracy")
+        shares = table.agg(F.struct(*(F.greatest(F.sum(f"n{k}") / F.sum(F.col("n0") + F.col("n1") + F.col("n2")), F.lit(1e-6)).alias(f"p{k}") for k in range(3))).alias("p")).scalar()
+        n = F.col("n0") + F.col("n1") + F.col("n2")
+        accuracy = [(F.col(f"n{k}") + SMOOTH * shares[f"p{k}"]) / (n + SMOOTH) for k in range(3)]
+        fresh = table.select("judge", "band", *(accuracy[k].alias(f"a{k}") for k in range(3)), *(F.log(accuracy[k] / shares[f"p{k}"]).alias(f"w{k}") for k in range(3)))
+        change = None
         if weights is not None:
-            old = weights.select("judge", "band", *(F.col(f"w{k}").alias(f"o{k}") for k in range(3)))
-            change = fresh.join(old, ["judge", "band"]).agg(F.max(F.greatest(*(F.abs(F.exp(f"w{k}") - F.exp(f"o{k}")) for k in range(3))))).first()[0]
+            old = weights.select("judge", "band", *(F.col(f"a{k}").alias(f"o{k}") for k in range(3)))
+            change = fresh.join(old, ["judge", "band"]).agg(F.max(F.greatest(*(F.abs(F.col(f"a{k}") - F.col(f"o{k}")) for k in range(3))))).first()[0] or 0.0
         weights = fresh
-        start = [F.lit(float(math.log(p))) for p in prior]
-        votes = rated.join(weights, ["judge", "band"]).groupBy("task_id").agg(*((F.sum(f"w{k}") + start[k]).alias(f"v{k}") for k in range(3)))
-        if turn and (change is None or change < STABLE):
+        votes = rated.join(weights.drop("a0", "a1", "a2"), ["judge", "band"]).groupBy("task_id").agg(*((F.sum(f"w{k}") + F.log(shares[f"p{k}"])).alias(f"v{k}") for k in range(3)))
+        if change is not None and change < STABLE:
             break
+    else:
+        warnings.warn(f"accuracies still change by {change} after {MOST_ROUNDS} rounds", stacklevel=2)
     return weights, votes
 
 
