@@ -1,6 +1,7 @@
 """Near-duplicates and split overlaps against brute force; hot regions, copies, nulls, empty tables."""
 
 import itertools
+import os
 import re
 import unicodedata
 
@@ -124,3 +125,46 @@ def test_words():
     w = shingles.words_of("Ｆull_width ①, naïve-ﬁle")
     assert w == ["full", "width", "1", "naïve", "file"]
     assert shingles.words_of("A_b-c 9") == [b"a", b"b", b"c", b"9"] and shingles.words_of(None) == []
+
+
+def test_a_template_of_half_the_records(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "MAX_REGION", 1)
+    monkeypatch.setattr(candidates, "SALTS", 3)
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(24)]
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in rng.integers(0, 500, 20)]
+        if i % 2:  # the template with up to seven words of its own
+            words = list(template)
+            for k in rng.integers(0, 24, rng.integers(0, 8)):
+                words[k] = f"w{rng.integers(0, 500)}"
+        rows.append((i, " ".join(words), None, ["train", "val"][i // 2 % 2], "s", None, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(df, "example_id", TEXTS, 0.65).collect()} == brute(rows)
+    nodes = near_duplicates.with_node(df.select(*TEXTS), *TEXTS)
+    found = spark.sparkContext.accumulator(0)
+    heads = shingles.head_symbols(nodes.select("node", "text"), 3, 0.65, shingles.frequency_table(nodes, 3), 3, candidates.frequent_class(), found)
+    counts = [(r.key >> shingles.HASH_BITS, r["count"]) for r in heads.groupBy("key").count().collect()]
+    assert found.value and max(k for _, k in counts) > 20  # a symbol of half the records never goes to one region
+    assert max(k for c, k in counts if c < candidates.frequent_class()) <= 16 * candidates.MAX_REGION
+
+
+def test_methods_that_the_readme_gives_up(spark):
+    """Record pivots replicate nearly every record into nearly every region; segments of equal lengths cost far more
+    substrings than the uneven cut."""
+    path = "/root/testdata/sf0.01/eval_example.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    texts = sorted({f"{r.task_input or ''} {r.expected_behavior or ''}" for r in spark.read.parquet(path).collect()})
+    sets = [s for s in (shingle_set(t, "") for t in texts) if s]
+    rng = np.random.default_rng(1)
+    pivots = [sets[i] for i in rng.choice(len(sets), 32, replace=False)]
+    far = np.array([[1 - len(s & p) / len(s | p) for p in pivots] for s in sets])
+    regions = (far <= far.min(axis=1, keepdims=True) + 2 * 0.35).sum(axis=1)
+    assert regions.mean() > 30 and (regions == 32).mean() > 0.9
+    n = np.array([len(s) for s in sets])
+    even = 2 * n  # substrings of the two lengths at every place
+    uneven = shingles.head_length(n, 0.65) + candidates.COMMON - 1
+    print(f"regions a record {regions.mean():.1f} of 32, in all {np.mean(regions == 32):.3f}; substrings a record {even.mean():.0f} and {uneven.mean():.0f}")
+    assert even.mean() > 4 * uneven.mean()

@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Accumulator, Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,11 +159,11 @@ def unseen(seen: set, *columns: np.ndarray) -> np.ndarray:
     return mask
 
 
-def head_symbols(records: DataFrame, width: int, threshold: float, table: Broadcast, extra: int = 0) -> DataFrame:
+def head_symbols(records: DataFrame, width: int, threshold: float, table: Broadcast, extra: int, frequent: int, found: Accumulator) -> DataFrame:
     """(key, node, n, pos[, side]): the rare head of every record's canonical string, a node once per task.
 
     records: ``node`` (bigint), ``text`` and perhaps ``side`` (int). extra: symbols beyond head_length(), for
-    more than one in common.
+    more than one in common. found: counts the symbols of class ``frequent`` or above.
     """
     more = [c for c in records.columns if c == "side"]
 
@@ -173,9 +173,11 @@ def head_symbols(records: DataFrame, width: int, threshold: float, table: Broadc
             b = b.filter(pa.array(unseen(seen, *(b.column(c).to_numpy() for c in ("node", *more)))))
             row, symbol, pos, n = canonical(*shingle_batch(b.column("text").to_pylist(), width, words), classes)
             keep = pos < head_length(n, threshold) + extra
-            row = row[keep]
+            row, symbol, pos, n = row[keep], symbol[keep], pos[keep], n[keep]
+            if (symbol >> HASH_BITS >= frequent).any():
+                found.add(1)
             given = {c: b.column(c).to_numpy()[row] for c in more}
-            yield pa.record_batch({"key": symbol[keep], "node": b.column("node").to_numpy()[row], "n": n[keep], "pos": pos[keep]} | given)
+            yield pa.record_batch({"key": symbol, "node": b.column("node").to_numpy()[row], "n": n, "pos": pos} | given)
 
     schema = "key bigint, node bigint, n bigint, pos bigint" + "".join(f", {c} int" for c in more)
     return records.select("node", "text", *more).mapInArrow(heads, schema)
