@@ -6,12 +6,23 @@ query set is compared with all rows through an inverted index.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelode.functions.text import STOPWORDS, word_set
 from tracelode.session import materialise
 
+#: Words of all queries up to which their index is broadcast (some 40 MB).
+QUERY_WORDS = 2_000_000
+
 
 def tokens(text: Column) -> Column:
     """Words of two letters or more in lower case without stopwords (ASCII letters and digits)."""
@@ -47,15 +58,76 @@ def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+_STOP, _WORD = frozenset(STOPWORDS), re.compile("[a-z0-9]{2,}")
+
+
+def gram_list(text: str | None) -> list[str]:
+    """``grams(tokens(text))`` of one text in Python, for numpy batches."""
+    words = [w for w in _WORD.findall(text.lower()) if w not in _STOP] if text else []
+    return words + [f"{x} {y}" for x, y in zip(words, words[1:])]
+
+
+def fitted_terms(rows: DataFrame, column: str, features: int) -> list[tuple[str, float]]:
+    """The ``features`` most frequent terms (ties by term) with their idf, counted over all rows.
+
+    Tasks send partial counts of the terms they met. At most ``features`` rows reach the driver, whatever the corpus.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq, df = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch({"term": pa.array(list(freq), pa.string()), "freq": pa.array(freq.values(), pa.int64()), "df": pa.array([df[t] for t in freq], pa.int64())})
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                terms = gram_list(text)
+                freq.update(terms)
+                df.update(set(terms))
+            if len(freq) > 500_000:
+                yield out()
+                freq.clear()
+                df.clear()
+        if freq:
+            yield out()
+
+    parts = rows.select(column).mapInArrow(count, "term string, freq bigint, df bigint")
+    top = parts.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("df").alias("df")).orderBy(F.desc("freq"), "term").limit(features)
+    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return [(r["term"], r["idf"]) for r in top.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()]
+
+
+def term_weights(texts: list[str | None], place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, weight) of a batch of texts, key = row * terms + term: sublinear tf-idf of length 1 per row."""
+    lists = [[k for t in gram_list(x) if (k := place.get(t)) is not None] for x in texts]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    key, tf = np.unique(row * len(idf) + np.fromiter(chain.from_iterable(lists), np.int64, len(row)), return_counts=True)
+    w = (1.0 + np.log(tf)) * idf[key % len(idf)]
+    return key, w / np.sqrt(np.bincount(key // len(idf), w * w, len(lists)))[key // len(idf)]
+
+
 def tfidf_pairs(rows: DataFrame, id_col: str, left: str, right: str, features: int = 5000) -> DataFrame:
     """(id, score): cosine of two text columns of the same row; the vocabulary is fitted on the right one.
 
-    Rows without a common term are left out (their score is 0).
+    Rows without a common term are left out (their score is 0). Once the vocabulary (at most ``features`` terms) is
+    known, a row needs nothing but itself: no terms move.
     """
-    fit = materialise(term_counts(rows, id_col, F.col(right)), "terms")
-    vocab = materialise(vocabulary(fit, rows, features), "vocabulary")
-    a, b = weights(term_counts(rows, id_col, F.col(left)), vocab), weights(fit, vocab)
-    return a.join(b.withColumnRenamed("w", "v"), ["id", "term"]).groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("score"))
+    terms = fitted_terms(rows, right, features)
+    place, idf = {t: i for i, (t, _) in enumerate(terms)}, np.array([x for _, x in terms])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(idf) else 0, 1000):
+                b = whole.slice(at, 1000)
+                a, v = (term_weights(b.column(c).to_pylist(), place, idf) for c in ("a", "b"))
+                both, i, j = np.intersect1d(a[0], v[0], assume_unique=True, return_indices=True)
+                total = np.bincount(both // len(idf), a[1][i] * v[1][j], b.num_rows)
+                met = np.unique(both // len(idf))
+                yield pa.record_batch([b.column("id").take(pa.array(met)), pa.array(total[met])], names=["id", "score"])
+
+    texts = rows.select(F.col(id_col).alias("id"), F.col(left).alias("a"), F.col(right).alias("b"))
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(score, f"id {kind}, score double").select("id", F.round("score", 5).alias("score"))
 
 
 def diversity(weighted: DataFrame) -> DataFrame:
@@ -85,12 +157,74 @@ def overlap_feedback(expected: Column, given: Column) -> Column:
 def similar_sets(queries: DataFrame, rows: DataFrame, id_col: str, text_col: str, above: float = 0.25, most: int = 5) -> DataFrame:
     """(query_id, id, jaccard, rank): for each query the rows of highest word-set Jaccard above a bound.
 
-    Queries are a stated set. A pair above the bound has need = ceil(above / (1 + above) * (nq + nr)) words in
-    common, and shares c of the first n - need + c words of either set, rarest first (words counted over all
-    rows). So the frequent words are not joined on; pairs that share enough (c = 3) are compared in full.
+    Queries are a stated set. Up to QUERY_WORDS words in all, their inverted index goes to every task and the rows are
+    read once: a task counts the common words of its rows with all queries and keeps the ``most`` best rows a query. A
+    larger set meets the rows in a join on rare words.
     """
     make = lambda d: d.select(F.col(id_col).alias("id"), word_set(F.coalesce(text_col, F.lit(""))).alias("words"))
-    q, r = make(queries), make(rows)
+    q, r = materialise(make(queries), "queries"), make(rows)
+    if (q.agg(F.sum(F.size("words") + 1)).first()[0] or 0) <= QUERY_WORDS:
+        scored = _indexed_sets(q.collect(), r, above, most)
+    else:
+        scored = _joined_sets(q, r, above)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= most).select("query_id", "id", F.round("jaccard", 6).alias("jaccard"), "rank")
+
+
+def _indexed_sets(queries: list, rows: DataFrame, above: float, most: int) -> DataFrame:
+    """(query_id, id, jaccard): of each task's rows the ``most`` best per query (ties by id)."""
+    place: dict[str, int] = {}
+    words = np.array([place.setdefault(w, len(place)) for x in queries for w in x["words"]], np.int64)
+    sizes = np.array([len(x["words"]) for x in queries], np.int64)
+    order = np.argsort(words, kind="stable")
+    of = np.repeat(np.arange(len(queries)), sizes)[order]  # queries by word
+    ends = np.concatenate(([0], np.cumsum(np.bincount(words, minlength=len(place))))).astype(np.int64)
+    ids = [x["id"] for x in queries]
+    held = rows.sparkSession.sparkContext.broadcast((place, of, ends, sizes, ids))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, of, ends, sizes, ids = held.value
+        step = max(1, 4_000_000 // max(1, len(ids)))
+        kept = None  # (query, -jaccard, id), sorted
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                lists = pa.concat_arrays([b.column("words")])
+                n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                word = np.fromiter((place.get(w, -1) for w in lists.flatten().to_pylist()), np.int64, int(n.sum()))
+                row = np.repeat(np.arange(len(n)), n)[word >= 0]
+                word = word[word >= 0]
+                k = ends[word + 1] - ends[word]
+                pick = np.repeat(ends[word] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                cell = np.bincount(np.repeat(row, k) * len(ids) + of[pick], minlength=0)
+                met = np.flatnonzero(cell)
+                r, q = met // max(1, len(ids)), met % max(1, len(ids))
+                jaccard = cell[met] / (n[r] + sizes[q] - cell[met])
+                id_ = b.column("id").to_numpy(zero_copy_only=False)[r]
+                id_ = id_.astype(str) if id_.dtype == object else id_
+                keep = (jaccard > above) & (id_ != np.array(ids, id_.dtype)[q]) if len(met) else np.zeros(0, bool)
+                found = (q[keep], -jaccard[keep], id_[keep])
+                kept = found if kept is None else tuple(np.concatenate(x) for x in zip(kept, found))
+                order = np.lexsort((kept[2], kept[1], kept[0]))
+                kept = tuple(x[order] for x in kept)
+                first = np.searchsorted(kept[0], kept[0])
+                kept = tuple(x[np.arange(len(first)) - first < most] for x in kept)
+        if kept is not None and len(kept[0]):
+            yield pa.record_batch({"query_id": pa.array([ids[i] for i in kept[0]], kind_arrow), "id": pa.array(kept[2], kind_arrow), "jaccard": pa.array(-kept[1])})
+
+    kind = rows.schema["id"].dataType
+    kind_arrow = to_arrow_type(kind)
+    known = rows.filter("id is not null")
+    return known.mapInArrow(best, f"query_id {kind.simpleString()}, id {kind.simpleString()}, jaccard double")
+
+
+def _joined_sets(q: DataFrame, r: DataFrame, above: float) -> DataFrame:
+    """(query_id, id, jaccard) of all pairs above the bound.
+
+    A pair above it has need = ceil(above / (1 + above) * (nq + nr)) words in common, and shares c of the first
+    n - need + c words of either set, rarest first (words counted over all rows). So the frequent words are not
+    joined on; pairs that share enough (c = 3) are compared in full.
+    """
     often = r.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
 
     def heads(sets: DataFrame) -> DataFrame:
@@ -107,9 +241,7 @@ def similar_sets(queries: DataFrame, rows: DataFrame, id_col: str, text_col: str
     near = met.filter(F.col("c") >= F.col("least")).select("query_id", "id")
     full = near.join(q.select(F.col("id").alias("query_id"), F.col("words").alias("q")), "query_id").join(r, "id")
     common = F.size(F.array_intersect("q", "words"))
-    scored = full.withColumn("jaccard", common / (F.size("q") + F.size("words") - common)).filter(F.col("jaccard") > above)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("jaccard"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= most).select("query_id", "id", F.round("jaccard", 6).alias("jaccard"), "rank")
+    return full.select("query_id", "id", (common / (F.size("q") + F.size("words") - common)).alias("jaccard")).filter(F.col("jaccard") > above)
 
 
 def dot(a: Column, b: Column) -> Column:
