@@ -147,3 +147,30 @@ def verdict_rollup(results: DataFrame, by: str, passed: Column, critical: Column
 def audit_with_runs(audit: DataFrame, strongest: DataFrame, skill: str = "group") -> DataFrame:
     """Dataset audits beside the skills' strongest improvements; audits without runs stay."""
     return audit.join(strongest.select(F.col("skill").alias(skill), "improvement"), skill, "left")
+
+
+def titled_sections(rows: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, section, n_lines, body): a text's parts under their heading line of level 1 to 6, "_preamble" before the
+    first; parts under the same heading are one, in order. Headings keep their marks; "# " differs from "## "."""
+    parts = F.posexplode(F.split(column, r"(?md)^(?=#{1,6}[ \t]+\S)")).alias("at", "part")
+    p = rows.filter(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), parts)
+    head = F.regexp_extract("part", r"(?d)^(#{1,6})[ \t]+([^\n]+)", 0)
+    marks, title = F.regexp_extract(head, "^(#{1,6})", 1), F.trim(F.regexp_replace(head, r"^#{1,6}[ \t]+", ""))
+    text = F.when(head != "", F.regexp_replace("part", r"(?d)^[^\n]*\n?", "")).otherwise(F.col("part"))
+    p = p.select("id", "at", F.when(head != "", F.concat_ws(" ", marks, title)).otherwise("_preamble").alias("section"), text.alias("text"))
+    lines = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + F.when((F.col("text") != "") & ~F.col("text").endswith("\n"), 1).otherwise(0)
+    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    return p.groupBy("id", "section").agg(F.sum(lines).alias("n_lines"), merged.alias("body"))
+
+
+def section_score(text: Column, numbered: float = 0.5, bullets: float = 0.5) -> Column:
+    """0 to 1: how well a section is built: length up to 1800, numbered lines and bullets (weighed as the kind of
+    section wants them), code, links; less for leftovers such as TODO or none."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    part = lambda pattern, full: F.least(F.lit(1.0), F.regexp_count(t, F.lit(pattern)) / full)
+    has = lambda pattern: t.rlike(pattern).cast("int")
+    score = (
+        F.least(F.lit(1.0), F.length(t) / 1800) * 0.25 + part(r"(?m)^\s*\d+[.)]\s+", 6) * 0.35 * numbered + part(r"(?m)^\s*[-*•]\s+", 8) * 0.35 * bullets + has(r"(?s)```.*?```") * 0.05 + has(r"(?i)https?://\S+") * 0.03
+        + has("`[^`]+`") * 0.02 - (t.contains("[[]") | t.contains("TODO")).cast("int") * 0.1 - has(r"(?i)\b(none|n/a)\b") * 0.08
+    )
+    return F.when(t == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))

@@ -191,3 +191,36 @@ def slug(text: Column, cut: int = 48) -> Column:
 
 def sampled(rows: DataFrame, key: str, per_10000: int) -> DataFrame:
     return rows.filter(hash_share(F.col(key), per_10000))
+
+
+def audit_priority(examples: DataFrame, by: Column, stub_words: tuple[str, ...], prefix: int = 60) -> DataFrame:
+    """Per group the counts that tell how badly its data need work, and their weighted sum (higher: more urgent).
+
+    Deficits: training examples below ten, stubs and repeated beginnings in per cent, categories below five, no hard
+    example. Difficulties and categories are counted without case; missing ones are a value of their own.
+    """
+    t, e = F.lower(F.coalesce("task_input", F.lit(""))), F.lower(F.coalesce("expected_behavior", F.lit("")))
+    stub = F.lit(False)
+    for w in stub_words:
+        stub = stub | t.contains(w) | e.contains(w)
+    g = examples.groupBy(by.alias("group")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(lean("split") == "train").alias("train"), F.count_if(lean("difficulty") == "hard").alias("hard"), F.count_distinct(F.coalesce(lean("category"), F.lit(""))).alias("categories"),
+        F.count_if(stub).alias("stubs"), (F.count(F.lit(1)) - F.count_distinct(F.substring(t, 1, prefix))).alias("repeated"),
+    )
+    score = F.greatest(F.lit(0), 10 - F.col("train")) * 2 + (F.col("stubs") + F.col("repeated")) * 150.0 / F.col("n") + F.greatest(F.lit(0), 5 - F.col("categories")) * 3 + F.when(F.col("hard") == 0, 3).otherwise(0)
+    return g.withColumn("priority", F.round(score, 4))
+
+
+def histogram(examples: DataFrame, by: Column, column: str) -> DataFrame:
+    """(group, value, n): how often each value of a column occurs per group, without case and outer blanks."""
+    return examples.groupBy(by.alias("group"), F.coalesce(lean(column), F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def case_gate(examples: DataFrame, by: Column, least: dict[str, int]) -> DataFrame:
+    """(group, <split>_cases, ok): whether every split of a group has as many examples as it needs."""
+    s = lean("split")
+    counts = examples.groupBy(by.alias("group")).agg(*(F.count_if(s == k).alias(f"{k}_cases") for k in least))
+    ok = F.lit(True)
+    for k, n in least.items():
+        ok = ok & (F.col(f"{k}_cases") >= n)
+    return counts.withColumn("ok", ok)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.checks import failed_checks
 from tracelode.operators.ordering import equal_ranges
 from tracelode.operators.scorelog import rounded
 
@@ -97,15 +98,21 @@ def running_best(runs: DataFrame) -> DataFrame:
     return d.select("skill", "run_id", rounded(F.max("evolved_score").over(by_time().rowsBetween(Window.unboundedPreceding, 0))).alias("best_so_far"))
 
 
-def cost_breaker(runs: DataFrame, cost: Column, window: int = 3, least_cost: float = 0.01, least_gain: float = 0.005) -> DataFrame:
+def cost_breaker(runs: DataFrame, cost: Column, window: int = 3, least_cost: float = 0.01, least_gain: float = 0.005, now: str | None = None, cooldown_days: int = 7) -> DataFrame:
     """Per skill whether its newest runs were all costly without gain. Overrides are skipped, cheap runs ignored,
-    any costly run with a gain closes the breaker, fewer than ``window`` runs never open it."""
+    any costly run with a gain closes the breaker, fewer than ``window`` runs never open it. Given ``now``, it is
+    closed where the newest run is older than the cooldown."""
     order = Window.partitionBy("skill").orderBy(F.desc("ts"), F.desc("run_id"))
     d = distinct_runs(runs).filter("skill is not null and improvement is not null").withColumn("cost", cost).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= window)
     live = F.col("improvement") != OVERRIDE
     costly, poor = F.col("cost") >= least_cost, F.col("improvement") < least_gain
     m = d.groupBy("skill").agg(F.count(F.lit(1)).alias("runs"), F.count_if(live & costly & poor).alias("worthless"), F.coalesce(F.bool_or(live & costly & ~poor), F.lit(False)).alias("reset"))
-    return m.withColumn("open", (F.col("runs") == window) & ~F.col("reset") & (F.col("worthless") >= window))
+    m = m.withColumn("open", (F.col("runs") == window) & ~F.col("reset") & (F.col("worthless") >= window))
+    if now is None:
+        return m
+    newest = d.groupBy("skill").agg(F.max("ts").alias("newest"))
+    cold = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {cooldown_days} days") > F.col("newest").cast("timestamp_ntz")
+    return m.join(newest, "skill").withColumn("open", F.col("open") & ~F.coalesce(cold, F.lit(False))).drop("newest")
 
 
 def power_law(runs: DataFrame, least: int = 4) -> DataFrame:
@@ -163,8 +170,15 @@ def status_counts(runs: DataFrame, kinds: tuple[str, ...] = ("improved", "flat",
     return fixed.join(counts, "outcome", "left").select("outcome", F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
-def filtered(rows: DataFrame, delta_min: float | None = None, delta_max: float | None = None, search: str | None = None, multi_run: bool | None = None) -> DataFrame:
-    """Cards by optional conditions; a null delta meets no bound; search looks into skill and runs, without case."""
+def filtered(rows: DataFrame, delta_min: float | None = None, delta_max: float | None = None, search: str | None = None, multi_run: bool | None = None, one_of: dict[str, tuple] | None = None, younger_than: Column | None = None, age: str = "age_hours") -> DataFrame:
+    """Cards by optional conditions; a null delta meets no bound; search looks into skill and runs, without case;
+    one_of: values allowed per column (status, priority, source, board, flags), texts without case; younger_than:
+    hours that the age must not reach (``functions.text.age_hours`` reads '1d' or '2w')."""
+    for column, values in (one_of or {}).items():
+        text = dict(rows.dtypes)[column] == "string"
+        rows = rows.filter(F.lower(column).isin(*(v.lower() for v in values)) if text else F.col(column).isin(*values))
+    if younger_than is not None:
+        rows = rows.filter(F.col(age) < younger_than)
     if delta_min is not None:
         rows = rows.filter(F.col("best_delta") >= delta_min)
     if delta_max is not None:
@@ -197,3 +211,48 @@ def latest_state(events: DataFrame, key: str, order: list[str], deleted: Column)
     """Last event per key of an append-only log, unless it is a deletion."""
     last = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
     return events.withColumn("__r", F.row_number().over(last)).filter("__r = 1").filter(~deleted).drop("__r")
+
+
+def fit_phases(runs: DataFrame, flat: float = 0.05, rising: float = 0.20, gain: float = 0.03) -> DataFrame:
+    """Per skill the fit of ``power_law`` with its R squared, the phase it shows, how sure that is, and what to do.
+
+    plateau: an exponent below ``flat`` that explains over half of the variance (stop); diminishing_returns: below
+    ``rising`` (wind_down); else early_discovery (continue). ``at_double``: the predicted score after as many runs
+    again, within 0 and 1; ``stop``: the first step whose predicted gain is below ``gain``, null beyond the runs.
+    """
+    fits = power_law(runs)
+    d = distinct_runs(runs).filter(F.col("evolved_score").isNotNull() & F.col("skill").isNotNull()).withColumn("i", F.row_number().over(by_time()).cast("double"))
+    a, b, c, n = F.col("scale"), F.col("offset"), F.col("exponent"), F.col("n")
+    residual = F.col("evolved_score") - (a * F.pow("i", c) + b)
+    # moments in one aggregation: partial sums per task
+    m = d.join(fits, "skill").groupBy("skill", "n", "exponent", "scale", "offset").agg(F.sum(residual * residual).alias("rest"), (F.var_pop("evolved_score") * F.count(F.lit(1))).alias("whole"))
+    m = m.withColumn("r2", rounded(1 - F.col("rest") / F.greatest(F.col("whole"), F.lit(1e-10)), 4))
+    phase = F.when((c < flat) & (F.col("r2") > 0.5), "plateau").when(c < rising, "diminishing_returns").otherwise("early_discovery")
+    sure = F.when(F.col("phase") == "plateau", F.greatest(F.lit(0.5), (flat - c) / flat)).when(F.col("phase") == "diminishing_returns", F.greatest(F.lit(0.4), (rising - c) / rising)).otherwise(F.greatest(F.lit(0.3), (c - rising) / rising + 0.3))
+    action = F.when(F.col("phase") == "plateau", "stop").when(F.col("phase") == "diminishing_returns", "wind_down").otherwise("continue")
+    steps = F.filter(F.sequence(n + 1, 2 * n + 9), lambda i: a * (F.pow(i.cast("double"), c) - F.pow((i - 1).cast("double"), c)) < gain)
+    at_double = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a * F.pow(2.0 * n, c) + b))
+    return m.withColumn("phase", phase).select(
+        "skill", "n", "r2", "phase", rounded(F.least(F.lit(1.0), sure), 4).alias("confidence"), action.alias("action"), F.try_element_at(steps, F.lit(1)).alias("stop"), rounded(at_double, 4).alias("at_double")
+    )
+
+
+def regressions(runs: DataFrame, slack: float = 0.05) -> DataFrame:
+    """Every scored run as pass (no worse than its baseline), minor (within ``slack``) or regression."""
+    lost = F.col("baseline_score") - F.col("evolved_score")
+    d = distinct_runs(runs).filter(lost.isNotNull())
+    return d.select("skill", "run_id", rounded(lost).alias("lost"), F.when(rounded(lost) > slack, "regression").when(F.col("evolved_score") >= F.col("baseline_score"), "pass").otherwise("minor").alias("verdict"))
+
+
+def report_gate(rows: DataFrame, least_delta: float = 0.0, most_growth: float = 0.5, most_cost: float | None = None, need_constraints: bool = True) -> DataFrame:
+    """Adds ``failed``: the conditions that a run report does not meet; a missing value fails.
+
+    rows: baseline_size, evolved_size, delta, constraints_passed, and for a cost limit baseline_cost, evolved_cost.
+    """
+    grown = (F.col("evolved_size") - F.col("baseline_size")) / F.greatest(F.lit(1.0), F.col("baseline_size"))
+    checks = {"delta": rounded(F.col("delta")) >= least_delta, "growth": grown <= most_growth}
+    if need_constraints:
+        checks = {"constraints": F.col("constraints_passed")} | checks
+    if most_cost is not None:
+        checks["cost"] = (F.col("evolved_cost") - F.col("baseline_cost")) / F.greatest(F.lit(1e-6), F.col("baseline_cost")) <= most_cost
+    return rows.withColumn("failed", failed_checks(checks))

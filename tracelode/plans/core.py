@@ -274,6 +274,36 @@ def run_first_small_gain(runs):
     return R.first_small_gain(R.power_law(runs))
 
 
+@query("run_report", f"""{_RUNS}{_FIT}, m AS (SELECT fit.*, round(1 - sum((s.evolved_score - (scale * pow(s.i::DOUBLE, exponent) + "offset")) ** 2) / greatest(var_pop(s.evolved_score) * count(*), 1e-10), 4) AS r2 FROM s JOIN fit USING (skill) GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN exponent < 0.05 AND r2 > 0.5 THEN 'plateau' WHEN exponent < 0.2 THEN 'diminishing_returns' ELSE 'early_discovery' END AS phase FROM m)
+    SELECT skill, n, r2, phase, round(least(1.0, CASE phase WHEN 'plateau' THEN greatest(0.5, (0.05 - exponent) / 0.05) WHEN 'diminishing_returns' THEN greatest(0.4, (0.2 - exponent) / 0.2) ELSE greatest(0.3, (exponent - 0.2) / 0.2 + 0.3) END), 4) AS confidence,
+      CASE phase WHEN 'plateau' THEN 'stop' WHEN 'diminishing_returns' THEN 'wind_down' ELSE 'continue' END AS action, list_filter(range(n + 1, 2 * n + 10), lambda i: scale * (pow(i::DOUBLE, exponent) - pow((i - 1)::DOUBLE, exponent)) < 0.03)[1] AS stop,
+      round(greatest(0.0, least(1.0, scale * pow(2.0::DOUBLE * n, exponent) + "offset")), 4) AS at_double FROM p""")
+def run_phases(runs):
+    return R.fit_phases(runs)
+
+
+@query("run_report", f"""{_RUNS} SELECT skill, run_id, round(baseline_score - evolved_score, 6) AS lost, CASE WHEN round(baseline_score - evolved_score, 6) > 0.05 THEN 'regression' WHEN evolved_score >= baseline_score THEN 'pass' ELSE 'minor' END AS verdict
+    FROM d WHERE baseline_score IS NOT NULL AND evolved_score IS NOT NULL""")
+def run_regressions(runs):
+    return R.regressions(runs)
+
+
+@query("run_report", f"""{_RUNS}, g AS (SELECT skill, run_id, [CASE WHEN NOT coalesce(constraints_passed, false) THEN 'constraints' END, CASE WHEN NOT coalesce(round(delta, 6) >= 0, false) THEN 'delta' END, CASE WHEN NOT coalesce((100.0 + 20 * iterations - 100) / 100 <= 0.5, false) THEN 'growth' END] AS f FROM c)
+    SELECT skill, run_id, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS failed FROM g""")
+def run_gate(runs):
+    d = R.distinct_runs(runs).filter("skill is not null")
+    rows = d.select("skill", "run_id", R.delta().alias("delta"), "constraints_passed", F.lit(100.0).alias("baseline_size"), (100.0 + 20 * F.col("iterations")).alias("evolved_size"))
+    return R.report_gate(rows).select("skill", "run_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query("run_report", f"""{_RUNS}, r AS (SELECT *, coalesce(elapsed_seconds, 0) / 10000.0 AS cost FROM c WHERE improvement IS NOT NULL QUALIFY row_number() OVER (PARTITION BY skill ORDER BY ts DESC, run_id DESC) <= 2),
+    m AS (SELECT skill, count(*) AS runs, count(*) FILTER (improvement <> 999.0 AND cost >= 0.001 AND improvement < 0.05) AS worthless, coalesce(bool_or(improvement <> 999.0 AND cost >= 0.001 AND improvement >= 0.05), false) AS reset, max(ts) AS newest FROM r GROUP BY 1)
+    SELECT skill, runs, worthless, reset, runs = 2 AND NOT reset AND worthless >= 2 AND NOT coalesce(TIMESTAMP '2025-03-01 00:00:00' - INTERVAL 30 DAY > newest, false) AS open FROM m""")
+def run_cost_breaker_with_cooldown(runs):
+    return R.cost_breaker(runs, F.coalesce("elapsed_seconds", F.lit(0.0)) / 10000.0, 2, 0.001, 0.05, "2025-03-01 00:00:00", 30)
+
+
 @query("run_report", f"""{_RUNS}, p AS (SELECT skill, run_id, evolved_score, -elapsed_seconds AS speed FROM c WHERE evolved_score IS NOT NULL AND elapsed_seconds IS NOT NULL)
     SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.evolved_score >= p.evolved_score AND q.speed >= p.speed AND (q.evolved_score > p.evolved_score OR q.speed > p.speed))""")
 def run_skyline(runs):
@@ -695,6 +725,31 @@ def run_pareto_choice(runs):
     return G.pareto_choice(d.select(F.concat_ws("/", "skill", "run_id").alias("id"), "baseline_score", "evolved_score", (F.coalesce("iterations", F.lit(0)) / 10.0).alias("growth")))
 
 
+@query("run_report", f"""{_RUNS}, g AS (SELECT skill || '/' || run_id AS id, baseline_score AS b, evolved_score AS e, coalesce(iterations, 0) / 10.0 AS growth, coalesce(constraints_passed, false) AS ok FROM c WHERE baseline_score IS NOT NULL AND evolved_score IS NOT NULL), p AS (SELECT *, least(1.0, greatest(0.0, growth - 0.2)) AS penalty FROM g)
+    SELECT id, CASE WHEN ok AND e - b >= 0.03 AND e * 0.85 + (1 - penalty) * 0.15 > b * 0.85 + 0.15 THEN 'evolved' ELSE 'baseline' END AS choice, round(penalty::DOUBLE, 6) AS penalty FROM p""")
+def run_robust_choice(runs):
+    d = R.distinct_runs(runs).filter("skill is not null and baseline_score is not null and evolved_score is not null")
+    return G.pareto_choice(d.select(F.concat_ws("/", "skill", "run_id").alias("id"), "baseline_score", "evolved_score", (F.coalesce("iterations", F.lit(0)) / 10.0).alias("growth"), F.col("constraints_passed").alias("robust")))
+
+
+@query("judge_audit_log", """WITH k AS (SELECT skill_name, coalesce(nullif(error_flag, ''), 'uncategorized') AS reason, count(*) FILTER (NOT coalesce(error_flag IS NULL AND raw_score >= 0.35, false)) AS k FROM judge_audit_log GROUP BY 1, 2),
+    g AS (SELECT skill_name, sum(k)::BIGINT AS failures, max(k) AS top, coalesce(sum(k) FILTER (reason IN ('timeout', 'parse_error')), 0) AS hard FROM k GROUP BY 1),
+    p AS (SELECT *, CASE WHEN failures > 0 AND hard / failures >= 0.8 THEN 'edge_case' WHEN failures >= 3 AND top / failures >= 0.6 THEN 'coverage' ELSE 'noise' END AS pattern FROM g)
+    SELECT skill_name, failures, pattern, round(least(1.0, CASE WHEN failures = 0 THEN 1.0 WHEN pattern = 'edge_case' THEN 0.5 + hard / failures * 0.5 WHEN pattern = 'coverage' THEN 0.4 + top / failures * 0.4 ELSE 0.5 END)::DOUBLE, 6) AS confidence FROM p""")
+def score_failure_patterns(log):
+    return G.failure_patterns(log, "skill_name", F.col("error_flag").isNull() & (F.col("raw_score") >= 0.35), F.col("error_flag"), ("timeout", "parse_error"))
+
+
+_ROLE, _DOCS = "['Plan', 'Rules', 'Report', 'Role', 'Context', 'Task']", "['Overview', 'Steps', 'Examples', 'Usage', 'Notes', 'Pitfalls']"
+
+
+@query(_DOC, rf"""{_PAIR}, k AS (SELECT doc_id, {_found('baseline')} AS o, {_found('evolved')} AS e, list_distinct(list_transform(regexp_extract_all(baseline, '(?m)^##[ \t]+([^\r\n]+)', 1), lambda x: trim(x, ' '))) AS h0, list_distinct(list_transform(regexp_extract_all(evolved, '(?m)^##[ \t]+([^\r\n]+)', 1), lambda x: trim(x, ' '))) AS h1 FROM p),
+    r AS (SELECT doc_id, len(o) = 0 OR len(list_intersect(o, e)) / len(o) >= 0.4 AS kept, list_intersect(h0, {_ROLE}) AS r0, list_intersect(h1, {_ROLE}) AS r1, len(list_intersect(h0, {_DOCS})) AS d0, len(list_intersect(h1, {_DOCS})) AS d1 FROM k)
+    SELECT doc_id, CASE WHEN NOT kept THEN 'keywords_lost' WHEN len(list_filter(r0, lambda x: NOT list_contains(r1, x))) > 0 THEN 'role_lost' WHEN len(r0) = 0 AND len(r1) > 0 THEN 'role_adopted' WHEN len(r0) = 0 AND d0 > 0 AND (d1 < 0.5 * d0 OR d1 = 0) THEN 'structure_lost' ELSE 'kept' END AS verdict FROM r""")
+def version_purpose(docs):
+    return G.purpose_kept(G.version_pairs(docs), _GROUPS, ("Plan", "Rules", "Report", "Role", "Context", "Task"), ("Overview", "Steps", "Examples", "Usage", "Notes", "Pitfalls"))
+
+
 @query("judge_audit_log", """WITH c AS (SELECT skill_name, coalesce(nullif(error_flag, ''), 'uncategorized') AS category, count(*) AS k FROM judge_audit_log WHERE error_flag IS NOT NULL OR raw_score < 0.35 GROUP BY 1, 2)
     SELECT skill_name, category, round(k / sum(k) OVER (PARTITION BY skill_name), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY skill_name ORDER BY k DESC, category) = 1""")
 def score_dominant_failures(log):
@@ -819,3 +874,47 @@ def version_section_similarity(docs):
     coalesce(bool_and(coalesce(raw_score >= 0.35, false) OR error_flag IS NULL), true) AS eligible FROM judge_audit_log GROUP BY 1""")
 def score_verdict_rollup(log):
     return C.verdict_rollup(log, "skill_name", F.col("raw_score") >= 0.35, F.col("error_flag").isNotNull())
+
+
+_STUB = "(contains(t, 'todo') OR contains(x, 'todo') OR contains(t, 'stale') OR contains(x, 'stale'))"
+
+
+@query(_EX, f"""WITH e AS (SELECT coalesce(lower(trim(source, ' ')), '') AS "group", lower(coalesce(task_input, '')) AS t, lower(coalesce(expected_behavior, '')) AS x, lower(trim(split, ' ')) AS s, lower(trim(difficulty, ' ')) AS d, coalesce(lower(trim(category, ' ')), '') AS c FROM eval_example),
+    g AS (SELECT "group", count(*) AS n, count(*) FILTER (s = 'train') AS train, count(*) FILTER (d = 'hard') AS hard, count(DISTINCT c) AS categories, count(*) FILTER ({_STUB}) AS stubs, count(*) - count(DISTINCT substr(t, 1, 60)) AS repeated FROM e GROUP BY 1)
+    SELECT *, round((greatest(0, 10 - train) * 2 + (stubs + repeated) * 150.0::DOUBLE / n + greatest(0, 5 - categories) * 3 + CASE WHEN hard = 0 THEN 3 ELSE 0 END)::DOUBLE, 4) AS priority FROM g""")
+def example_audit_priority(rows):
+    return D.audit_priority(rows, F.coalesce(D.lean("source"), F.lit("")), ("todo", "stale"))
+
+
+@query(_EX, """SELECT coalesce(lower(trim(split, ' ')), '') AS "group", coalesce(lower(trim(difficulty, ' ')), '') AS value, count(*) AS n FROM eval_example GROUP BY 1, 2""")
+def example_difficulties(rows):
+    return D.histogram(rows, F.coalesce(D.lean("split"), F.lit("")), "difficulty")
+
+
+@query(_EX, """WITH g AS (SELECT coalesce(lower(trim(source, ' ')), '') AS "group", count(*) FILTER (lower(trim(split, ' ')) = 'train') AS train_cases, count(*) FILTER (lower(trim(split, ' ')) = 'holdout') AS holdout_cases FROM eval_example GROUP BY 1)
+    SELECT *, train_cases >= 8 AND holdout_cases >= 1 AS ok FROM g""")
+def example_case_gate(rows):
+    return D.case_gate(rows, F.coalesce(D.lean("source"), F.lit("")), {"train": 8, "holdout": 1})
+
+
+@query(_DOC, r"""WITH d AS (SELECT doc_id, replace(text, chr(13), '') AS text FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM d),
+    h AS (SELECT *, regexp_extract(line, '^(#{1,6})[ \t]+([^ \t].*)$', 1) AS marks, trim(regexp_replace(line, '^#{1,6}[ \t]+', ''), ' ') AS title FROM l),
+    c AS (SELECT *, last_value(CASE WHEN marks <> '' THEN marks || ' ' || title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h)
+    SELECT * FROM (SELECT doc_id, coalesce(section, '_preamble') AS section, count(*) FILTER (marks = '' AND NOT (i = n AND line = '')) AS n_lines FROM c GROUP BY 1, 2) WHERE section <> '_preamble' OR n_lines > 0""")
+def doc_titled_sections(docs):
+    d = docs.select("doc_id", F.regexp_replace("text", "\r", "").alias("text"))
+    return C.titled_sections(d, "doc_id", "text").filter("section <> '_preamble' or n_lines > 0").select(F.col("id").alias("doc_id"), "section", "n_lines")
+
+
+@query(_DOC, r"""WITH t AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents), s AS (SELECT doc_id, t, least(1.0, length(t) / 1800) * 0.25 + least(1.0, len(regexp_extract_all(t, '(?m)^\s*\d+[.)]\s+')) / 6) * 0.35 * 0.2 + least(1.0, len(regexp_extract_all(t, '(?m)^\s*[-*•]\s+')) / 8) * 0.35
+      + regexp_matches(t, '(?s)```.*?```')::INT * 0.05 + regexp_matches(t, '(?i)https?://\S+')::INT * 0.03 + regexp_matches(t, '`[^`]+`')::INT * 0.02 - (contains(t, '[[]') OR contains(t, 'TODO'))::INT * 0.1 - regexp_matches(t, '(?i)\b(none|n/a)\b')::INT * 0.08 AS score FROM t)
+    SELECT doc_id, round((CASE WHEN t = '' THEN 0.0 ELSE greatest(0.0, least(1.0, score)) END)::DOUBLE, 5) AS score FROM s""")
+def doc_section_scores(docs):
+    return docs.select("doc_id", F.round(C.section_score(F.col("text"), 0.2, 1.0), 5).alias("score"))
+
+
+@query(_DOC, f"""{_PAIR}, t AS (SELECT doc_id, lower(unnest(regexp_extract_all(evolved, '[a-zA-Z]{{4,}}'))) AS term FROM p), o AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(baseline, '[a-zA-Z]{{4,}}'))) AS term FROM p),
+    k AS (SELECT doc_id, term, count(*) AS k FROM t WHERE term NOT IN {tuple(w for w in T.STOPWORDS if len(w) >= 4)} GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, term) AS INTEGER) AS rank, term, k FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = k.doc_id AND o.term = k.term) QUALIFY rank <= 5""")
+def version_new_terms(docs):
+    return G.new_terms(G.version_pairs(docs))
