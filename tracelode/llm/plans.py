@@ -107,4 +107,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_agreement": sql.P2_AGREEMENT, "p5_found": sql.P5_FOUND, "p7_found": sql.p7_found(conversations.SPEAKERS), "p10_found": sql.P10_FOUND, "p10_shared": sql.P10_SHARED, "p10_lengths": sql.P10_LENGTHS}
+    found = {"p3_found": sql.P3_FOUND, "p3_report": sql.P3_REPORT, "p4_found": sql.P4_FOUND, "p4_classes": sql.P4_CLASSES}
+    return found | {"p2_agreement": sql.P2_AGREEMENT, "p5_found": sql.P5_FOUND, "p7_found": sql.p7_found(conversations.SPEAKERS), "p10_found": sql.P10_FOUND, "p10_shared": sql.P10_SHARED, "p10_lengths": sql.P10_LENGTHS}

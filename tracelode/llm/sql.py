@@ -53,3 +53,22 @@ P10_LENGTHS = """WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FRO
     x AS (SELECT doc_id, text, w, unnest(range(1, n - w + 2)) AS i FROM t JOIN l ON n >= w), h AS (SELECT doc_id, w, hash(substr(text, i, w)) AS h, hash(text) AS whole FROM x),
     m AS (SELECT w, h FROM h GROUP BY 1, 2 HAVING count(DISTINCT whole) > 1)
     SELECT doc_id, max(w)::INTEGER AS at_least FROM h JOIN m USING (w, h) GROUP BY 1"""
+
+#: DuckDB has NFC but no NFKC: the compatibility forms that words are written in are the full-width ones and ligatures.
+_WIDE, _PLAIN = ("".join(map(chr, range(first, first + 94))).replace("'", "''") for first in (0xFF01, 0x21))
+_NORMAL = f"nfc_normalize(replace(replace(translate(coalesce(task_input, '') || ' ' || coalesce(expected_behavior, ''), '{_WIDE}', '{_PLAIN}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'))"
+#: Brute force over shared shingles.
+_SIMILAR = f"""WITH RECURSIVE w AS (SELECT example_id, regexp_extract_all(lower({_NORMAL}), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_example),
+    s AS (SELECT DISTINCT example_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT example_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), n AS (SELECT example_id, count(*) AS n FROM s GROUP BY 1),
+    c AS (SELECT a.example_id AS a, b.example_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.example_id < b.example_id GROUP BY 1, 2),
+    p AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM c JOIN n x ON x.example_id = a JOIN n y ON y.example_id = b WHERE k >= 0.65 * (x.n + y.n - k) - 1e-9),
+    t AS (SELECT example_id, lower(trim(split, ' ')) AS split, lower(trim(coalesce(source, ''), ' ')) AS source FROM eval_example),
+    o AS (SELECT p.*, CASE WHEN x.split = 'train' THEN b ELSE a END AS held FROM p JOIN t x ON x.example_id = a JOIN t y ON y.example_id = b
+      WHERE (x.split = 'train' AND y.split IN ('val', 'holdout')) OR (y.split = 'train' AND x.split IN ('val', 'holdout')))"""
+P3_FOUND = f"{_SIMILAR} SELECT a AS example_id_a, b AS example_id_b FROM o"
+P3_REPORT = f"""{_SIMILAR}, h AS (SELECT held AS example_id, max(similarity) AS most FROM o GROUP BY 1)
+    SELECT split, source, count(*) AS records, count(most) AS overlapping, count(*) FILTER (most >= 1) AS exact FROM t LEFT JOIN h USING (example_id) WHERE split IN ('val', 'holdout') GROUP BY 1, 2"""
+P4_FOUND = f"{_SIMILAR} SELECT a AS example_id_a, b AS example_id_b FROM p"
+P4_CLASSES = f"""{_SIMILAR}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, root) AS (SELECT example_id, example_id FROM eval_example UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+    f AS (SELECT id, min(root) AS class_id FROM r GROUP BY 1), d AS (SELECT a AS id, count(*) AS k FROM e GROUP BY 1)
+    SELECT id AS example_id, class_id, coalesce(k, 0) AS n_links FROM f LEFT JOIN d USING (id)"""
