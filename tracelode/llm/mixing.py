@@ -8,7 +8,7 @@ probability rate - floor(rate), drawn from a hash of its id and the seed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.session import materialise
@@ -19,7 +19,9 @@ def _key(column: str):
 
 
 def mix_rates(tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, documents, tokens, rate): one row per source of either table.
+    """(source, target_share, max_repeats, documents, tokens, rate, binding): one row per source of either table.
+
+    binding: the source whose cap sets the total.
 
     tokens: source and n_tokens per document. Sources are compared without case and outer blanks, a null one is
     ''. Rows of targets that name one source are added up, with the smaller cap. A source without target, with a
@@ -30,13 +32,12 @@ def mix_rates(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     both = want.join(have, "source", "full").fillna(0, ["target_share", "max_repeats", "documents", "tokens"])
     usable = (F.col("target_share") > 0) & (F.col("max_repeats") > 0) & (F.col("tokens") > 0)
     both = both.withColumn("usable", usable)
-    everything = Window.partitionBy(F.lit(0))  # one row per source
-    share = F.col("target_share") / F.sum(F.when(F.col("usable"), F.col("target_share"))).over(everything)
-    both = both.withColumn("share", F.when(F.col("usable"), share))
-    total = F.min(F.col("tokens") * F.col("max_repeats") / F.col("share")).over(everything)
-    both = both.withColumn("total", total)
+    whole = both.agg(F.sum(F.when(F.col("usable"), F.col("target_share"))).alias("whole")).scalar()
+    both = both.withColumn("share", F.when(F.col("usable"), F.col("target_share") / whole))
+    most = F.col("tokens") * F.col("max_repeats") / F.col("share")
+    both = both.withColumn("total", both.agg(F.min(most).alias("total")).scalar())
     rate = F.when(F.col("usable"), F.least(F.col("share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return both.select("source", "target_share", "max_repeats", "documents", "tokens", rate.alias("rate"))
+    return both.select("source", "target_share", "max_repeats", "documents", "tokens", rate.alias("rate"), (F.col("usable") & (most <= F.col("total") * (1 + 1e-12))).alias("binding"))
 
 
 def draw_copies(tokens: DataFrame, rates: DataFrame, id_col: str, seed: int = 17) -> DataFrame:
@@ -55,12 +56,14 @@ def mix(tokens: DataFrame, targets: DataFrame, id_col: str, seed: int = 17) -> D
 
 
 def mix_report(tokens: DataFrame, targets: DataFrame, id_col: str, seed: int = 17) -> DataFrame:
-    """Per source: target and actual share of the emitted tokens, documents, tokens, copies and most repeats."""
+    """Per source: target and actual share of the emitted tokens, documents, tokens, copies and most repeats, whether its
+    cap sets the total, and the tokens that its cap would still allow."""
     tokens = materialise(tokens.select(id_col, "source", "n_tokens"), "tokens")
     rates = mix_rates(tokens, targets)
     got = draw_copies(tokens, rates, id_col, seed).groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_repeats")
     )
     out = rates.join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_documents", "most_repeats"])
-    share = F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))).alias("actual_share")
-    return out.select("source", "target_share", share, "documents", "tokens", "max_repeats", "rate", "mixed_documents", "mixed_tokens", "most_repeats")
+    share = F.try_divide(F.col("mixed_tokens"), out.agg(F.sum("mixed_tokens").alias("all")).scalar()).alias("actual_share")
+    left = F.when(F.col("target_share") > 0, F.greatest(F.lit(0), F.col("tokens") * F.col("max_repeats") - F.col("mixed_tokens"))).otherwise(0).alias("unused_tokens")
+    return out.select("source", "target_share", share, "documents", "tokens", "max_repeats", "rate", "mixed_documents", "mixed_tokens", "most_repeats", "binding", left)
