@@ -207,3 +207,72 @@ def test_similar_sets_equal_brute_force(spark):
     got = {(r.query_id, r.id) for r in similarity.similar_sets(d.filter("id % 10 = 0"), d, "id", "t", 0.5, 1000).collect()}
     sets = {i: set(t.split()) for i, t in texts.items()}
     assert got == {(q, i) for q in range(0, 60, 10) for i in range(60) if q != i and sets[q] | sets[i] and len(sets[q] & sets[i]) > 0.5 * len(sets[q] | sets[i])}
+
+
+def test_release_keeps_what_is_not_this_applications(spark):
+    import os
+
+    from tracelode import session
+
+    table = session.materialise(spark.range(3), "kept")
+    root = session.shared_dir(spark).replace("file://", "")
+    other = os.path.join(root, "tracelode", "another-application", "tables")
+    os.makedirs(other)
+    file = session.write_shared(spark, "lexicon-1.bin", b"x")
+    assert table.count() == 3
+    session.release(spark)
+    assert os.path.exists(other) and os.path.exists(file.replace("file:", "", 1).replace("//", "/"))
+    assert not os.path.exists(os.path.join(root, "tracelode", spark.sparkContext.applicationId, "tables"))
+
+
+def test_a_machine_local_folder_is_refused_on_a_cluster():
+    import pytest
+
+    from tracelode import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
+def test_lags_cross_chunks(spark):
+    from tracelode.operators.ordering import running_sums
+
+    d = spark.createDataFrame([("a", i, None if i % 5 == 0 else i) for i in range(30)] + [("b", 3, 1), ("a", None, 7)], "g string, i int, x int").repartition(5)
+    got = {(r.g, r.i): r.p for r in running_sums(d, ["g"], F.floor(F.col("i") / 4), ["i"], lags={"p": F.col("x")}).collect()}
+    assert got["a", None] is None and got["a", 0] == 7 and got["b", 3] is None
+    assert all(got["a", i] == (None if (i - 1) % 5 == 0 else i - 1) for i in range(1, 30))
+
+
+def test_one_name_of_half_the_versions_is_cut_by_the_hour(spark):
+    from datetime import datetime, timedelta
+
+    from tracelode.operators import gates
+
+    rows = [(i, "hot" if i % 2 else f"n{i % 7}", f"text {i}", datetime(2025, 1, 1) + timedelta(minutes=10 * i)) for i in range(200)]
+    got = {r.doc_id: r.baseline for r in gates.version_pairs(spark.createDataFrame(rows, "doc_id bigint, skill_name string, text string, written_at timestamp")).collect()}
+    assert all(got[i] == f"text {i - 2}" for i in range(3, 200, 2)) and 1 not in got
+
+
+def test_skyline_equals_brute_force_over_ranges(spark, monkeypatch):
+    import random
+
+    from tracelode.operators import runs
+
+    monkeypatch.setattr(runs, "RANGES", 7)
+    random.seed(2)
+    points = [(i, random.randint(0, 40) / 3, random.randint(0, 40)) for i in range(300)] + [(900, None, 5), (901, 3.0, None)]
+    d = spark.createDataFrame(points, "id int, x double, y int")
+    whole = [p for p in points if p[1] is not None and p[2] is not None]
+    want = {p[0] for p in whole if not any(q[1] >= p[1] and q[2] >= p[2] and (q[1] > p[1] or q[2] > p[2]) for q in whole)}
+    assert {r.id for r in runs.skyline(d, "x", "y").collect()} == want
+    assert runs.skyline(d.filter("id < 0"), "x", "y").count() == 0
