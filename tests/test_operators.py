@@ -215,14 +215,16 @@ def test_release_keeps_what_is_not_this_applications(spark):
     from tracelode import session
 
     table = session.materialise(spark.range(3), "kept")
-    root = session.shared_dir(spark).replace("file://", "")
+    root = session.shared_dir(spark).removeprefix("file:")
+    root = "/" + root.lstrip("/")
     other = os.path.join(root, "tracelode", "another-application", "tables")
-    os.makedirs(other)
+    os.makedirs(other, exist_ok=True)
     file = session.write_shared(spark, "lexicon-1.bin", b"x")
     assert table.count() == 3
     session.release(spark)
-    assert os.path.exists(other) and os.path.exists(file.replace("file:", "", 1).replace("//", "/"))
+    assert os.path.exists(other) and os.path.exists("/" + file.removeprefix("file:").lstrip("/"))
     assert not os.path.exists(os.path.join(root, "tracelode", spark.sparkContext.applicationId, "tables"))
+    os.removedirs(other)
 
 
 def test_a_machine_local_folder_is_refused_on_a_cluster():
